@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 SEQUENCE_ALLELE = "^[ACGTNacgtn]+$"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _run_length(limit: Column, same_at) -> Column:
     """Number of leading offsets 1..limit for which ``same_at(i)`` holds without a gap."""
     walk = F.aggregate(
@@ -42,31 +47,35 @@ def is_sequence_pair(ref: Column, alt: Column) -> Column:
     return F.coalesce(ref.rlike(SEQUENCE_ALLELE) & alt.rlike(SEQUENCE_ALLELE), F.lit(False))
 
 
+def _with_padding(ref: Column, alt: Column, body) -> Column:
+    """``body(prefix, suffix)`` with both shared lengths computed once."""
+    return let(shared_prefix(ref, alt), lambda p: let(shared_suffix(ref, alt, p), lambda s: body(p, s)))
+
+
 def changed_span(pos: Column, ref: Column, alt: Column) -> Column:
     """Smallest changed 1-based closed reference span; an insertion keeps both flanks.
 
     NULL for symbolic, breakend and star alleles, which belong to structural review.
     """
-    prefix = shared_prefix(ref, alt)
-    suffix = shared_suffix(ref, alt, prefix)
-    changed = F.length(ref) - prefix - suffix
-    left = F.greatest(pos, pos + prefix - 1)
-    span = F.when(
-        changed > 0,
-        F.struct((pos + prefix).cast("long").alias("start"), (pos + prefix + changed - 1).cast("long").alias("end")),
-    ).otherwise(F.struct(left.cast("long").alias("start"), (left + 1).cast("long").alias("end")))
-    return F.when(is_sequence_pair(ref, alt), span)
+    def span(prefix, suffix):
+        changed = F.length(ref) - prefix - suffix
+        start = F.when(changed > 0, pos + prefix).otherwise(F.greatest(pos, pos + prefix - 1))
+        width = F.when(changed > 0, changed).otherwise(F.lit(2))
+        return F.struct(start.cast("long").alias("start"), (start + width - 1).cast("long").alias("end"))
+
+    return F.when(is_sequence_pair(ref, alt), _with_padding(ref, alt, span))
 
 
 def minimal_alleles(pos: Column, ref: Column, alt: Column) -> Column:
     """Take shared padding off both ends without shifting through repeats; parts may be empty."""
-    prefix = shared_prefix(ref, alt)
-    suffix = shared_suffix(ref, alt, prefix)
-    return F.struct(
-        (pos + prefix).cast("long").alias("pos"),
-        F.substring(ref, prefix + 1, F.length(ref) - prefix - suffix).alias("ref"),
-        F.substring(alt, prefix + 1, F.length(alt) - prefix - suffix).alias("alt"),
-    )
+    def trimmed(prefix, suffix):
+        return F.struct(
+            (pos + prefix).cast("long").alias("pos"),
+            F.substring(ref, prefix + 1, F.length(ref) - prefix - suffix).alias("ref"),
+            F.substring(alt, prefix + 1, F.length(alt) - prefix - suffix).alias("alt"),
+        )
+
+    return _with_padding(ref, alt, trimmed)
 
 
 def called_indices(gt: Column, n_alts: Column) -> Column:

@@ -64,7 +64,8 @@ def alt_present_text(gt: Column) -> Column:
 
 
 def gt_text(gt: Column, phased: Column) -> Column:
-    return F.array_join(gt.cast("array<string>"), F.when(phased, "|").otherwise("/"), ".")
+    alleles = gt.cast("array<string>")
+    return F.when(phased, F.array_join(alleles, "|", ".")).otherwise(F.array_join(alleles, "/", "."))
 
 
 def pl_index(gt: Column) -> Column:

@@ -97,10 +97,10 @@ def reference_bases(calls: DataFrame, chunks: DataFrame, contig: str = "contig",
     ).select(*calls.columns, F.coalesce("observed", F.lit("")).alias("observed"))
 
 
-def audit_reference(calls: DataFrame, aliases: DataFrame, chunks: DataFrame) -> DataFrame:
+def audit_reference(calls: DataFrame, aliases: DataFrame, chunks: DataFrame, step: int = CHUNK_STEP) -> DataFrame:
     """Add target, observed and reason: unsupported_contig, invalid_REF, out_of_bounds, REF_mismatch or match."""
     mapped = calls.join(aliases.select("contig", "target"), "contig", "left").select(*calls.columns, "target")
-    looked = reference_bases(mapped, chunks, contig="target")
+    looked = reference_bases(mapped, chunks, contig="target", step=step)
     reason = (
         F.when(F.col("target").isNull(), "unsupported_contig")
         .when(~F.coalesce(F.col("ref").rlike("^[ACGTNacgtn]+$"), F.lit(False)), "invalid_REF")

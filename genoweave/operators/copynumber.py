@@ -26,15 +26,17 @@ LENGTHS = (3, 4, 5, 10, 20)
 FRACTIONS = (0.05, 0.10, 0.20, 0.30, 0.50)
 
 
-def gc_windows(regions: DataFrame) -> DataFrame:
+def gc_windows(
+    regions: DataFrame, min_length: int = 500000, min_called: float = 0.99, low: float = 0.25, high: float = 0.65
+) -> DataFrame:
     """Windows with depth per called base, GC and the reason a window is left out.
 
     ``regions``: chrom, start, end, depth, seq.
     """
     acgt = fs.acgt_fraction(F.col("seq"))
     gc = fs.gc_fraction(F.col("seq"))
-    reason = F.when((F.length("seq") < 500000) | (acgt < 0.99), "short_or_gap_rich_window").when(
-        ~F.coalesce(gc.between(0.25, 0.65), F.lit(False)), "extreme_gc_window"
+    reason = F.when((F.length("seq") < min_length) | (acgt < min_called), "short_or_gap_rich_window").when(
+        ~F.coalesce(gc.between(low, high), F.lit(False)), "extreme_gc_window"
     )
     return (
         regions.withColumn("acgt_fraction", acgt)

@@ -12,6 +12,8 @@ from genoweave.operators.ordered import BIN, carry, islands, with_bin
 
 # Bin sizes as powers of two; spans longer than the last size share one bin per contig.
 LEVEL_BITS = (14, 17, 20, 23, 26, 29, 62)
+# The same ladder for reads, bases and other short spans that lie densely.
+READ_BITS = (8, 12, 18, 62)
 
 
 @dataclass(frozen=True)
@@ -93,7 +95,7 @@ def overlap_bases(left: DataFrame, keys: list[str], right: DataFrame, left_span:
     ls, le = left_span.half_open()
     rs, re = right_span.half_open()
     hits = (
-        overlap_join(left.select(*keys, left_span.contig, left_span.start, left_span.end).distinct(), right, left_span, right_span)
+        overlap_join(left.select(*dict.fromkeys([*keys, left_span.contig, left_span.start, left_span.end])).distinct(), right, left_span, right_span)
         .groupBy(*keys)
         .agg(F.sum(F.least(le, re) - F.greatest(ls, rs)).alias(name))
     )
@@ -122,6 +124,19 @@ def merge_intervals(
     )
 
 
+def merge_bounded(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", slack: int = 0) -> DataFrame:
+    """The same union where a key's rows are few by nature, such as the exons of one gene.
+
+    One window per key instead of linked bins; use :func:`merge_intervals` for anything else.
+    """
+    base = df.groupBy(*keys, start).agg(F.max(end).alias(end))
+    along = Window.partitionBy(*keys).orderBy(start)
+    reach = F.max(end).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    flagged = base.withColumn("_break", (reach.isNull() | (F.col(start) > reach + slack)).cast("int"))
+    numbered = flagged.withColumn("_island", F.sum("_break").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+
+
 def chain_clusters(df: DataFrame, keys: list[str], position: str, gap: int, name: str = "cluster") -> DataFrame:
     """Give each row the first position of its chain; a step over ``gap`` starts a new chain."""
     points = df.select(*keys, position).filter(F.col(position).isNotNull()).distinct()

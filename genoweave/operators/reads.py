@@ -6,20 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoweave.functions import reads as fr
+from genoweave.functions.alleles import let
 from genoweave.functions.sequence import reverse_complement
-from genoweave.operators.intervals import Span, chain_clusters, overlap_join
+from genoweave.operators.intervals import READ_BITS, Span, chain_clusters, overlap_join
 
 
 def prepare_reads(reads: DataFrame) -> DataFrame:
     """Add template (hashed name), ops, walk, ref_end and aligned_query to SAM rows."""
-    ops = fr.cigar_ops(F.col("cigar"))
+    shape = let(
+        fr.cigar_ops(F.col("cigar")),
+        lambda ops: F.struct(
+            ops.alias("ops"),
+            fr.cigar_walk(ops, F.col("pos")).alias("walk"),
+            fr.reference_end(ops, F.col("pos")).alias("ref_end"),
+            fr.aligned_query(ops).alias("aligned_query"),
+        ),
+    )
+    # Exploding the one-element array keeps later filters from repeating the walk.
     return (
         reads.withColumn("template", F.sha2("qname", 256))
-        .withColumn("ops", ops)
-        .withColumn("walk", fr.cigar_walk(F.col("ops"), F.col("pos")))
-        .withColumn("ref_end", fr.reference_end(F.col("ops"), F.col("pos")))
-        .withColumn("aligned_query", fr.aligned_query(F.col("ops")))
         .withColumn("reverse", fr.has_flag(F.col("flag"), fr.REVERSE))
+        .withColumn("_shape", F.explode(F.array(shape)))
+        .select(*reads.columns, "template", "reverse", "_shape.*")
     )
 
 
@@ -71,7 +79,7 @@ def depth_by_interval(depth: DataFrame, intervals: DataFrame, keys: list[str], p
     median is read off the depth histogram. ``depth``: chrom, pos, depth, ``profile``.
     ``intervals``: keys, i_chrom, i_start, i_end.
     """
-    met = overlap_join(depth, intervals, Span("chrom", "pos", "pos", closed=True), Span("i_chrom", "i_start", "i_end", closed=True))
+    met = overlap_join(depth, intervals, Span("chrom", "pos", "pos", closed=True), Span("i_chrom", "i_start", "i_end", closed=True), READ_BITS)
     hist = met.groupBy(*keys, profile, "i_start", "i_end", "depth").agg(F.count("*").alias("n"))
     size = F.col("i_end") - F.col("i_start") + 1
     known = hist.groupBy(*keys, profile, "i_start", "i_end").agg(F.sum("n").alias("_known"))
@@ -121,9 +129,11 @@ def site_bases(prepared: DataFrame, sites: DataFrame, quality: int = 20) -> Data
 
     ``sites``: site_contig, site, site_ref, site_alt.
     """
-    met = overlap_join(prepared, sites, Span("rname", "pos", "ref_end", closed=True), Span("site_contig", "site", "site", closed=True))
+    met = overlap_join(prepared, sites, Span("rname", "pos", "ref_end", closed=True), Span("site_contig", "site", "site", closed=True), READ_BITS)
     hit = fr.base_at(fr.aligned_blocks(F.col("walk")), F.col("seq"), F.col("qual"), F.col("site"))
-    return met.withColumn("_h", hit).filter(F.col("_h").isNotNull() & (F.col("_h.qual") >= quality)).withColumn("base", F.col("_h.base")).drop("_h")
+    # Exploding the one-element array keeps the filter from repeating the walk.
+    shown = met.withColumn("_h", F.explode(F.array_compact(F.array(hit))))
+    return shown.filter(F.col("_h.qual") >= quality).select(*met.columns, "_h.base", F.col("_h.qual").alias("bq"))
 
 
 SITE = ["site_contig", "site", "site_ref", "site_alt"]
