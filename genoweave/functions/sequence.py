@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from genoweave.functions.alleles import let
+
 # Bases in codon-table order and the standard genetic code read in that order.
 CODON_BASES = "TCAG"
 STANDARD_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -64,21 +66,13 @@ def edit_codon(cds: Column, codon_number: Column, codon: Column) -> Column:
 
 
 def protein_differences(before: Column, after: Column) -> Column:
-    """array<struct<position, before, after>> over the shared length."""
-    upto = F.least(F.length(before), F.length(after))
-    sites = F.filter(
-        F.sequence(F.lit(1), upto),
-        lambda i: F.substring(before, i, F.lit(1)) != F.substring(after, i, F.lit(1)),
-    )
-    found = F.transform(
-        sites,
-        lambda i: F.struct(
-            i.alias("position"),
-            F.substring(before, i, F.lit(1)).alias("before"),
-            F.substring(after, i, F.lit(1)).alias("after"),
-        ),
-    )
-    return F.when(upto > 0, found)
+    """array<struct<position, before, after>> over the shared length; each text is worked out once."""
+    def compare(b, a):
+        pairs = F.zip_with(F.split(b, ""), F.split(a, ""), lambda x, y: F.struct(x.alias("before"), y.alias("after")))
+        placed = F.transform(pairs, lambda p, i: F.struct((i + 1).alias("position"), p["before"].alias("before"), p["after"].alias("after")))
+        return F.filter(placed, lambda p: (p["before"] != p["after"]) & (p["before"] != "") & (p["after"] != ""))
+
+    return let(before, lambda b: let(after, lambda a: compare(b, a)))
 
 
 def clean_runs(sequence: Column, k: int) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from genoweave.registry.views import VIEWS, Views, with_views
 
-FAMILIES = ("structures","alignments")
+FAMILIES = ("sequences",)
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
