@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -150,52 +146,3 @@ def longest_exact(query: Column, target: Column, floor: int = 10, ceiling: int =
         return F.exists(starts, lambda i: F.instr(t, F.substring(q, i, width)) > 0)
     widths = F.filter(F.sequence(F.lit(floor), top), found)
     return F.when(top >= floor, F.coalesce(F.array_max(widths), F.lit(0))).otherwise(F.lit(0))
-
-
-def _walk_pairs(cigar: str, pos: int) -> dict[int, int | None]:
-    """Reference position to query offset, None inside a deletion; small per-read helper."""
-    ref, query, pairs, number = pos, 0, {}, ""
-    for ch in cigar:
-        if ch.isdigit():
-            number += ch
-            continue
-        n, number = int(number or 0), ""
-        if ch in "M=X":
-            pairs.update(zip(range(ref, ref + n), range(query, query + n)))
-        elif ch in "DN":
-            pairs.update((p, None) for p in range(ref, ref + n))
-        if ch in "M=XDN":
-            ref += n
-        if ch in "M=XIS":
-            query += n
-    return pairs
-
-
-@F.pandas_udf("string")
-def observed_allele(
-    batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]],
-) -> Iterator[pd.Series]:
-    """Simple SNV or anchored indel allele one read shows at a site.
-
-    Inputs: sequence, quality, cigar, pos, site, ref, alt. NULL when the read is ambiguous: end
-    margin under 5, a base under Q20, an unobserved downstream flank or another sequence.
-    """
-    for seqs, quals, cigars, starts, sites, refs, alts in batches:
-        out = []
-        for seq, qual, cigar, start, site, ref, alt in zip(seqs, quals, cigars, starts, sites, refs, alts):
-            pairs = _walk_pairs(cigar, int(start))
-            q = pairs.get(int(site))
-            allele = None
-            if q is not None:
-                scores = np.frombuffer(qual.encode("ascii"), dtype=np.uint8) - 33
-                if len(ref) == len(alt) == 1:
-                    if scores[q] >= 20 and min(q, len(seq) - q - 1) >= 5 and seq[q] in (ref, alt):
-                        allele = seq[q]
-                elif ref.startswith(alt) or alt.startswith(ref):
-                    flank = pairs.get(int(site) + len(ref))
-                    if flank is not None and min(q, len(seq) - flank - 1) >= 5:
-                        shown = seq[q:flank]
-                        if shown in (ref, alt) and scores[q : flank + 1].min() >= 20:
-                            allele = shown
-            out.append(allele)
-        yield pd.Series(out, dtype=object)

@@ -39,10 +39,10 @@ def acgt_fraction(sequence: Column) -> Column:
 
 def amino_acid(codon: Column) -> Column:
     """One-letter residue of a codon, '*' for a stop, NULL for anything else."""
-    def rank(i):
-        return F.instr(F.lit(CODON_BASES), F.substring(codon, i, 1)) - 1
-    index = rank(1) * 16 + rank(2) * 4 + rank(3) + 1
-    return F.when(codon.rlike("^[ACGT]{3}$"), F.substring(F.lit(STANDARD_CODE), index, F.lit(1)))
+    digits = F.translate(codon, CODON_BASES, "0123")
+    index = F.conv(digits, 4, 10).try_cast("int") + 1
+    called = (F.length(codon) == 3) & (F.length(F.translate(codon, CODON_BASES, "")) == 0)
+    return F.when(called, F.substring(F.lit(STANDARD_CODE), index, F.lit(1)))
 
 
 def translate_cds(cds: Column) -> Column:

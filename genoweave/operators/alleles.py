@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genoweave.functions import alleles as fa
 from genoweave.functions import coords
 from genoweave.functions import genotype as fg
+from genoweave.functions.perread import shift_left
 from genoweave.session import cut_lineage, guard
 
 ALLELE_KEY = ["contig", "pos", "ref", "alt"]
@@ -122,35 +120,6 @@ def partition_callable_ref(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls.filter(good), calls.filter(~good)
 
 
-def _shift_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Roll simple indels left inside the supplied upstream text; ``edge`` marks exhausted text."""
-    for frame in batches:
-        moved = []
-        for pos, ref, alt, context, start in zip(frame["pos"], frame["ref"], frame["alt"], frame["context"], frame["context_start"]):
-            p, r, a, edge = int(pos), ref, alt, False
-            while True:
-                if r and a and len(r) + len(a) > 2 and r[-1] == a[-1] and (len(r) > 1 and len(a) > 1):
-                    r, a = r[:-1], a[:-1]
-                    continue
-                if len(r) != len(a) and min(len(r), len(a)) == 1 and r[-1] == a[-1]:
-                    at = p - 2 - int(start)
-                    if p <= 1:
-                        break
-                    if at < 0:
-                        edge = True
-                        break
-                    base = context[at]
-                    r, a, p = base + r[:-1], base + a[:-1], p - 1
-                    continue
-                break
-            while len(r) > 1 and len(a) > 1 and r[0] == a[0]:
-                r, a, p = r[1:], a[1:], p + 1
-            moved.append((p, r, a, edge))
-        out = frame[["_id"]].copy()
-        out[["pos", "ref", "alt", "edge"]] = moved if moved else pd.DataFrame(columns=["pos", "ref", "alt", "edge"])
-        yield out
-
-
 def left_align(calls: DataFrame, chunks: DataFrame, row_id: str, rounds: int = 64, step: int = CHUNK_STEP) -> DataFrame:
     """Parsimonious, left-most form of every sequence allele.
 
@@ -175,7 +144,7 @@ def left_align(calls: DataFrame, chunks: DataFrame, row_id: str, rounds: int = 6
             F.concat(F.coalesce("_bown", F.lit("")), F.coalesce("_own", F.lit(""))).alias("context"),
             F.coalesce("_bs", "context_start", F.lit(0)).alias("context_start"),
         )
-        moved = ready.mapInPandas(_shift_batch, "_id long, pos long, ref string, alt string, edge boolean")
+        moved = ready.mapInPandas(shift_left, "_id long, pos long, ref string, alt string, edge boolean")
         moved = cut_lineage(moved.join(todo.select("_id", "contig"), "_id"))
         settled = moved.filter("not edge").drop("edge")
         done = settled if done is None else done.unionByName(settled)

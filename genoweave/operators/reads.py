@@ -141,8 +141,10 @@ SITE = ["site_contig", "site", "site_ref", "site_alt"]
 
 def template_site_counts(bases: DataFrame) -> DataFrame:
     """ref / alt / other / discordant templates per site; reads of a template must agree."""
-    per = bases.groupBy(*SITE, "template").agg(F.min("base").alias("lo"), F.max("base").alias("hi"))
-    call = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("discordant")
+    # Character codes aggregate by hash; text minima would sort.
+    code = F.ascii("base")
+    per = bases.groupBy(*SITE, "template").agg(F.min(code).alias("lo"), F.max(code).alias("hi"))
+    call = F.when(F.col("lo") == F.col("hi"), F.char("lo")).otherwise("discordant")
     called = per.withColumn("call", call)
     c = F.col("call")
     return called.groupBy(*SITE).agg(

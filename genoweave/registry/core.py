@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from genoweave.registry.views import VIEWS, Views, with_views
 
-FAMILIES = ("sequences",)
+FAMILIES = ("variants", "geometry", "copies", "structures", "alignments", "sequences", "phasing", "notes", "tracking", "scoring", "jobs")
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}

@@ -191,7 +191,7 @@ def g4(v):
 
     rec = shared.seq_records(v).filter("length(seq) >= 60")
     # A one-base deletion and insertion at every document's tenth base before its end.
-    c = rec.select("contig", F.xxhash64("contig").alias("src_row"), (F.length("seq") - 10).cast("long").alias("pos"), "seq")
+    c = rec.select("contig", F.substring("contig", 4, 20).cast("long").alias("src_row"), (F.length("seq") - 10).cast("long").alias("pos"), "seq")
     both = F.explode(F.array(F.lit(0), F.lit(1)))
     c = c.withColumn("kind", both).withColumn("src_row", F.col("src_row") * 2 + F.col("kind"))
     first = F.expr("substring(seq, cast(pos as int), 1)")

@@ -226,6 +226,8 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not ctes:
         return body
+    if body.lower().startswith("with recursive "):
+        return "with recursive " + ",\n".join(ctes) + ",\n" + body[len("with recursive "):]
     if body.lower().startswith("with "):
         return "with " + ",\n".join(ctes) + ",\n" + body[5:]
     return "with " + ",\n".join(ctes) + "\n" + body
