@@ -34,16 +34,18 @@ def _placed(df: DataFrame, span: Span, side: str, bits: tuple[int, ...]) -> Data
     """Repeat each row once per bin it touches on its own level and every coarser level.
 
     A span lies on the finest level whose bins are at least as long, so it touches at most two
-    bins per level.
+    bins per level. A pair meets where the coarser of the two lives, so at least one of them is
+    at home there: ``_role`` lets home rows meet everything and never two visitors each other.
     """
     start, end = span.half_open()
     s, e, level = f"_{side}s", f"_{side}e", f"_{side}l"
     own = reduce(lambda acc, b: acc + (F.col(e) - F.col(s) > F.lit(1 << b)).cast("int"), bits[:-1], F.lit(0))
     levels = ",".join(map(str, bits))
+    roles = f"if(v > {level}, array(1), array(0))" if side == "l" else f"if(v > {level}, array(0), array(0, 1))"
     slots = (
-        f"flatten(transform(sequence({level}, {len(bits) - 1}), v -> transform("
+        f"flatten(flatten(transform(sequence({level}, {len(bits) - 1}), v -> transform("
         f"sequence(shiftright({s}, array({levels})[v]), shiftright({e} - 1, array({levels})[v])), "
-        f"b -> named_struct('level', v, 'bin', b, 'head', shiftright({s}, array({levels})[v])))))"
+        f"b -> transform({roles}, o -> named_struct('level', v, 'bin', b, 'head', shiftright({s}, array({levels})[v]), 'role', o))))))"
     )
     return (
         df.withColumn(s, start)
@@ -51,8 +53,7 @@ def _placed(df: DataFrame, span: Span, side: str, bits: tuple[int, ...]) -> Data
         .filter(F.col(e) > F.col(s))
         .withColumn(level, own)
         .withColumn("_slot", F.explode(F.expr(slots)))
-        .withColumn(f"_{side}head", F.col("_slot.head"))
-        .select("*", F.col("_slot.level").alias("_level"), F.col("_slot.bin").alias("_slot_bin"))
+        .select("*", F.col("_slot.head").alias(f"_{side}head"), F.col("_slot.level").alias("_level"), F.col("_slot.bin").alias("_slot_bin"), F.col("_slot.role").alias("_role"))
         .drop("_slot")
         .withColumnRenamed(span.contig, f"_{side}contig")
         .withColumn("_contig", F.col(f"_{side}contig"))
@@ -79,9 +80,8 @@ def overlap_join(
         raise ValueError(f"rename shared columns first: {sorted(clash)}")
     a = _placed(left, left_span, "l", bits)
     b = _placed(right, right_span, "r", bits)
-    met = a.join(b, ["_contig", "_level", "_slot_bin"]).filter(
-        (F.col("_level") == F.greatest("_ll", "_rl"))
-        & (F.col("_slot_bin") == F.greatest("_lhead", "_rhead"))
+    met = a.join(b, ["_contig", "_level", "_slot_bin", "_role"]).filter(
+        (F.col("_slot_bin") == F.greatest("_lhead", "_rhead"))
         & (F.col("_ls") < F.col("_re"))
         & (F.col("_rs") < F.col("_le"))
     )

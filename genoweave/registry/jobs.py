@@ -147,3 +147,31 @@ def x18(v):
 @query("X19_mixture_table", f"select count(*) scenarios, round(avg((2*rest+3*a+3*b+c)/2000.0),6) mean_rd from {copies.MIX}")
 def x19(v):
     return copies.a43(v).agg(F.count("*").alias("scenarios"), F.round(F.avg("relative_rd"), 6).alias("mean_rd"))
+
+
+@query("X15_candidate_dossier", """select p_partkey id, case when p_partkey%2=0 then 'M' else 'C' end||':c.'||cast(p_partkey as varchar) hgvs_c, case when p_partkey%7=0 then 'exact_normalized_allele_match' else 'no_exact_record_in_snapshot' end catalog_status from part""")
+def x15(v):
+    from genoweave.operators import annotate
+
+    a = notes.allele_rows(v)
+    cat = a.filter("id % 7 = 0").select("contig", "pos", "ref", "alt", F.col("id").alias("allele_id"), F.lit("Benign").alias("clnsig"))
+    return annotate.candidate_dossier(a, notes.primary(v), notes.frequencies(v), cat).select("id", "hgvs_c", "catalog_status")
+
+
+@query("X17_screen_summary", """select 'pgx_accepted' what, count(*) n from v_calls where gt not in ('1/.','./.') and dp>=10 and coalesce(gq, case when gt='0/0' then pl0 end)>=20 union all select 'mtdna_positions', count(*) from (select distinct site_contig, site, site_ref from v_site_bases)
+ union all select 'pair_names', count(*) from (select qname from v_spans where unm and mate_unm and not flag%4096>=2048 group by qname)""")
+def x17(v):
+    from genoweave.operators import mtdna, reads
+
+    reason = fg.pgx_reason(F.col("gt"), F.col("dp"), F.col("gq"), F.col("pl0"))
+    pgx = shared.calls(v).filter(reason.isNull()).agg(F.lit("pgx_accepted").alias("what"), F.count("*").alias("n"))
+    mt = mtdna.depth_summary(mtdna.pileup_counts(text.parse_pileup(alignments.pileup_lines(v)))).select(F.lit("mtdna_positions").alias("what"), F.col("positions_reported").alias("n"))
+    pairs = reads.unmapped_pairs(v("v_sam")).agg(F.lit("pair_names").alias("what"), F.count("*").alias("n"))
+    return pgx.unionByName(mt).unionByName(pairs)
+
+
+@query("S21_site_recount", "select count(*) records, count(*) filter (where n_alts=2) multiallelic_sites, count(*) filter (where gt='0/0') hom_ref from v_multi")
+def s21(v):
+    from genoweave.operators import strata
+
+    return strata.site_statistics(shared.multi(v)).select("records", "multiallelic_sites", "hom_ref")
