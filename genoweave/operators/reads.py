@@ -346,18 +346,47 @@ def best_read_per_end(prepared: DataFrame, ordinal: str) -> DataFrame:
     return usable.groupBy("template", end.alias("read_end")).agg(best.alias("_b")).select("template", "read_end", "_b.*")
 
 
-def template_depth(prepared: DataFrame, quality: int = 20) -> DataFrame:
-    """Depth per base counting each template once, from bases of good quality only."""
+def good_runs(prepared: DataFrame, quality: int = 20) -> DataFrame:
+    """Stretches of aligned bases at the quality floor as half-open intervals (rname, template, start, end).
+
+    A read gives a few stretches instead of one row per base.
+    """
+    floor = chr(quality + 33)
     block = F.explode(fr.aligned_blocks(F.col("walk")))
-    blocks = prepared.filter(fr.is_primary(F.col("flag")) & ~fr.has_flag(F.col("flag"), fr.UNMAPPED) & (F.col("qual") != "*")).select(
-        "rname", "template", F.col("qual"), block.alias("b")
+    usable = prepared.filter(fr.is_primary(F.col("flag")) & ~fr.has_flag(F.col("flag"), fr.UNMAPPED) & (F.col("qual") != "*"))
+    blocks = usable.select("rname", "template", "qual", block.alias("b")).select(
+        "rname", "template", F.col("b.ref").alias("at"),
+        F.split(F.regexp_replace(F.substring("qual", F.col("b.query") + 1, F.col("b.len")), f"[^{floor}-~]", " "), " ").alias("parts"),
     )
-    bases = blocks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("b.len") - 1))).select(
-        "rname", "template", (F.col("b.ref") + F.col("i")).alias("pos"),
-        fr.phred(F.substring("qual", F.col("b.query") + F.col("i") + 1, F.lit(1))).alias("q"),
+    # Every part is followed by one low-quality base, so its offset is the lengths before it plus their number.
+    def placed(part, i):
+        before = F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0), lambda n, p: n + F.length(p) + 1)
+        return F.struct(before.alias("offset"), F.length(part).alias("len"))
+    runs = blocks.select("rname", "template", "at", F.explode(F.transform("parts", placed)).alias("r")).filter("r.len > 0")
+    start = F.col("at") + F.col("r.offset")
+    return runs.select("rname", "template", start.alias("start"), (start + F.col("r.len")).alias("end"))
+
+
+def template_depth(prepared: DataFrame, quality: int = 20, width: int = 1 << 16) -> DataFrame:
+    """Depth per base counting each template once, from bases of good quality only.
+
+    Stretches are cut at bin borders, trimmed where a template already covers them and turned
+    into +1/-1 steps; steps combine before the shuffle, and depth is their running sum inside a
+    bin. Rows per base appear only in the result.
+    """
+    runs = good_runs(prepared, quality)
+    edge = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width)))
+    cut = runs.withColumn("bin", edge).select(
+        "rname", "template", "bin", F.greatest("start", F.col("bin") * width).alias("start"), F.least("end", (F.col("bin") + 1) * width).alias("end")
     )
-    seen = bases.filter(F.col("q") >= quality).select("rname", "template", "pos").distinct()
-    return seen.groupBy("rname", "pos").agg(F.count("*").alias("depth"))
+    longest = cut.groupBy("rname", "template", "bin", "start").agg(F.max("end").alias("end"))
+    before = Window.partitionBy("rname", "template", "bin").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = longest.withColumn("start", F.greatest("start", F.coalesce(F.max("end").over(before), F.col("start")))).filter("end > start")
+    steps = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d"))))
+    delta = fresh.select("rname", "bin", steps.alias("s")).groupBy("rname", "bin", F.col("s.pos").alias("pos")).agg(F.sum("s.d").alias("d"))
+    along = Window.partitionBy("rname", "bin").orderBy("pos")
+    level = delta.withColumn("depth", F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("pos").over(along))
+    return level.filter("depth > 0").select("rname", F.explode(F.sequence(F.col("pos"), F.col("next") - 1)).alias("pos"), "depth")
 
 
 def first_pairs(reads: DataFrame, n: int) -> DataFrame:
