@@ -19,7 +19,7 @@ from genoweave.registry import load  # noqa: E402
 HEADLINE = (
     "X3_clinical_report", "X4_route_triage", "G3_multiallelic_split", "F10_phasing_eligibility", "F14_changed_span_in_genes", "J7_cds_overlap", "J12_asof_join",
     "A24_merge_half_open", "A22_gene_relation", "A15_template_site_counts", "A39_template_depth", "A12_interval_depth",
-    "X7_copy_number_follow_up", "A27_ablation", "A29_raw_sums", "K2_template_kmer_counts", "P3_phase_edges", "A34_track_comparison",
+    "X7_copy_number_follow_up", "A27_ablation", "A29_raw_sums", "A34_track_comparison",
 )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from genoweave.functions.alleles import let
+
 CIGAR_STEP = r"(\d+)([MIDNSHP=X])"
 # SAM flag bits.
 PAIRED, UNMAPPED, MATE_UNMAPPED, REVERSE, MATE_REVERSE = 1, 4, 8, 16, 32
@@ -48,6 +50,27 @@ def cigar_walk(ops: Column, pos: Column) -> Column:
     return F.transform(ops, placed)
 
 
+def alignment_shape(cigar: Column, pos: Column) -> Column:
+    """ops, walk, ref_end and aligned_query of a read, each worked out once.
+
+    Most reads align in one piece; they skip the general walk.
+    """
+    def shape(ops, walk, end, aligned):
+        return F.struct(ops.alias("ops"), walk.alias("walk"), end.cast("long").alias("ref_end"), aligned.alias("aligned_query"))
+
+    def single(n):
+        op = F.substring(cigar, -1, 1)
+        step = F.struct(op.alias("op"), n.alias("len"), pos.cast("long").alias("ref"), F.lit(0).alias("query"), F.lit(0).alias("index"))
+        return shape(F.array(F.struct(n.alias("len"), op.alias("op"))), F.array(step), pos + n - 1, n)
+
+    def general(ops):
+        return shape(ops, cigar_walk(ops, pos), reference_end(ops, pos), aligned_query(ops))
+
+    simple = cigar.rlike("^[0-9]+[M=X]$")
+    length = F.regexp_extract(cigar, "^([0-9]+)", 1).try_cast("int")
+    return F.when(simple, let(length, single)).otherwise(let(cigar_ops(cigar), general))
+
+
 def aligned_blocks(walk: Column) -> Column:
     return F.filter(walk, lambda s: s["op"].isin("M", "=", "X"))
 
@@ -113,17 +136,20 @@ def mean_quality(quality: Column) -> Column:
     return F.when(F.length(quality) > 0, F.bround(total / F.length(quality), 2))
 
 
-def base_at(blocks: Column, sequence: Column, quality: Column, site: Column) -> Column:
+def base_at(walk: Column, sequence: Column, quality: Column, site: Column) -> Column:
     """Base and quality aligned to a reference site; NULL when deleted, clipped or not covered."""
-    covering = F.get(F.filter(blocks, lambda b: (b["ref"] <= site) & (site < b["ref"] + b["len"])), F.lit(0))
-    offset = (covering["query"] + site - covering["ref"] + 1).cast("int")
-    return F.when(
-        covering.isNotNull(),
-        F.struct(
+    covering = F.get(
+        F.filter(walk, lambda b: (b["ref"] <= site) & (site < b["ref"] + b["len"]) & b["op"].isin("M", "=", "X")), F.lit(0)
+    )
+
+    def shown(step):
+        offset = (step["query"] + site - step["ref"] + 1).cast("int")
+        return F.struct(
             F.upper(F.substring(sequence, offset, F.lit(1))).alias("base"),
             phred(F.substring(quality, offset, F.lit(1))).alias("qual"),
-        ),
-    )
+        )
+
+    return let(covering, lambda step: F.when(step.isNotNull(), shown(step)))
 
 
 def entropy(sequence: Column) -> Column:

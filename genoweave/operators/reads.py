@@ -6,27 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoweave.functions import reads as fr
-from genoweave.functions.alleles import let
 from genoweave.functions.sequence import reverse_complement
 from genoweave.operators.intervals import READ_BITS, Span, chain_clusters, overlap_join
 
 
 def prepare_reads(reads: DataFrame) -> DataFrame:
     """Add template (hashed name), ops, walk, ref_end and aligned_query to SAM rows."""
-    shape = let(
-        fr.cigar_ops(F.col("cigar")),
-        lambda ops: F.struct(
-            ops.alias("ops"),
-            fr.cigar_walk(ops, F.col("pos")).alias("walk"),
-            fr.reference_end(ops, F.col("pos")).alias("ref_end"),
-            fr.aligned_query(ops).alias("aligned_query"),
-        ),
-    )
     # Exploding the one-element array keeps later filters from repeating the walk.
     return (
         reads.withColumn("template", F.sha2("qname", 256))
         .withColumn("reverse", fr.has_flag(F.col("flag"), fr.REVERSE))
-        .withColumn("_shape", F.explode(F.array(shape)))
+        .withColumn("_shape", F.explode(F.array(fr.alignment_shape(F.col("cigar"), F.col("pos")))))
         .select(*reads.columns, "template", "reverse", "_shape.*")
     )
 
@@ -130,7 +120,7 @@ def site_bases(prepared: DataFrame, sites: DataFrame, quality: int = 20) -> Data
     ``sites``: site_contig, site, site_ref, site_alt.
     """
     met = overlap_join(prepared, sites, Span("rname", "pos", "ref_end", closed=True), Span("site_contig", "site", "site", closed=True), READ_BITS)
-    hit = fr.base_at(fr.aligned_blocks(F.col("walk")), F.col("seq"), F.col("qual"), F.col("site"))
+    hit = fr.base_at(F.col("walk"), F.col("seq"), F.col("qual"), F.col("site"))
     # Exploding the one-element array keeps the filter from repeating the walk.
     shown = met.withColumn("_h", F.explode(F.array_compact(F.array(hit))))
     return shown.filter(F.col("_h.qual") >= quality).select(*met.columns, "_h.base", F.col("_h.qual").alias("bq"))
