@@ -34,7 +34,7 @@ def spread(spark: SparkSession, at_least: int = 1) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), at_least)
 
 
-def shard_count(df: DataFrame, text: str, bytes_per_shard: int = 6_000_000) -> int:
+def shard_count(df: DataFrame, text: str, bytes_per_shard: int = 3_000_000) -> int:
     """Groups of about ``bytes_per_shard`` bytes of text, so a group's memory does not grow with the input."""
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return max(spread(df.sparkSession), -(-total // bytes_per_shard))
@@ -113,7 +113,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, limit: int = 400_000) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts of about ``limit`` bytes together; a longer text is a range of its own."""
     n, at = len(offsets) - 1, 0
     while at < n:
