@@ -120,8 +120,9 @@ class Shard:
         for lo, hi in pieces(self.offsets):
             base = self.offsets[lo]
             s = Segments(BYTE_VALUE[self.raw[base : self.offsets[hi]]], self.offsets[lo : hi + 1] - base, WIDTH, GRAM)
+            # an anchor's hash is a least one, so it is mixed again before ranges of it are dealt out
             ok = self.known[s.text + lo] if len(s.text) else np.zeros(0, bool)
-            parts.append((s.start[ok] + base, s.count[ok], s.gram[ok] >> U64(16), s.whole[ok] >> U64(24), s.text[ok] + lo))
+            parts.append((s.start[ok] + base, s.count[ok], mix(s.gram[ok]) >> U64(16), s.whole[ok] >> U64(24), s.text[ok] + lo))
         self.start, self.count, self.gram, self.whole, self.text = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64))
         self.doc = self.ids[self.text]
         self.key = mix(self.gram ^ mix(self.whole))
