@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from genoweave.llm.common import BYTE_VALUE, U64, Rolling, Segments, mix, pieces, shard_count, spread, text_bytes
 
 WIDTH = 50
-GRAM = 24
+GRAM = 22
 REMAIN = "shard int, g int, kind int, h binary, w binary, d binary, f binary"
 
 
@@ -107,6 +107,11 @@ def common_prefixes(text: np.ndarray, ends: np.ndarray, sa: np.ndarray, most: in
 # ---- what shards and groups say to each other ---------------------------------------------------
 
 
+def segment_key(gram: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """One name of 7 bytes of a segment, enough to tell those of one shard apart."""
+    return mix(gram ^ mix(whole)) & U64(2**56 - 1)
+
+
 class Shard:
     """Texts of a shard and their segments."""
 
@@ -125,7 +130,7 @@ class Shard:
             parts.append((s.start[ok] + base, s.count[ok], mix(s.gram[ok]) >> U64(16), s.whole[ok] >> U64(24), s.text[ok] + lo))
         self.start, self.count, self.gram, self.whole, self.text = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64))
         self.doc = self.ids[self.text]
-        self.key = mix(self.gram ^ mix(self.whole))
+        self.key = segment_key(self.gram, self.whole)
         # distinct segments with their smallest document, and how many distinct ones an anchor has here
         order = np.lexsort((self.doc, self.key))
         k = self.key[order]
@@ -142,8 +147,7 @@ class Shard:
         for r in range(replies.num_rows if len(self.key) else 0):
             if replies["kind"][r].as_py() != 1:
                 continue
-            h, w, d, f = unpack(replies, r)
-            key = mix(h ^ mix(w))
+            key, _, d, f = unpack(replies, r)
             mine = self.key[self.distinct]
             at = np.minimum(np.searchsorted(mine, key), len(mine) - 1)
             ok = mine[at] == key
@@ -174,21 +178,31 @@ class Shard:
         return first[region] + inside, ends[region], inside < (last - first)[region]
 
 
-def pack(h=None, w=None, d=None, f=None) -> tuple:
-    """Hashes in 6 and 5 bytes, ids as they are, flags as bytes."""
-    narrow = lambda x, n: b"" if x is None else np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
-    return narrow(h, 8 if w is None else 6), narrow(w, 5), b"" if d is None else d.astype(np.int64).tobytes(), b"" if f is None else f.astype(np.uint8).tobytes()
+def narrow(x: np.ndarray | None, n: int) -> bytes:
+    """The low ``n`` bytes of each 64-bit value."""
+    return b"" if x is None else np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
 
 
-def unpack(table: pa.Table, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    def wide(raw: bytes, n: int) -> np.ndarray:
-        x = np.frombuffer(raw, np.uint8).reshape(-1, n)
-        out = np.zeros((len(x), 8), np.uint8)
-        out[:, :n] = x
-        return out.view(np.uint64).ravel()
+def wide(raw: bytes, n: int) -> np.ndarray:
+    x = np.frombuffer(raw, np.uint8).reshape(-1, n)
+    out = np.zeros((len(x), 8), np.uint8)
+    out[:, :n] = x
+    return out.view(np.uint64).ravel()
+
 
+def pack(h=None, w=None, d=None, f=None, width: int = 8) -> tuple:
+    """Names in ``width`` bytes, whole-segment hashes in 5, ids as differences to the least one in as few bytes as they need."""
+    low = int(d.min())
+    above = (d - low).astype(np.uint64)
+    size = max(1, (int(above.max()).bit_length() + 7) // 8)
+    ids = np.int64(low).tobytes() + bytes([size]) + narrow(above, size)
+    return narrow(h, width), narrow(w, 5), ids, b"" if f is None else f.astype(np.uint8).tobytes()
+
+
+def unpack(table: pa.Table, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     h, w, d, f = (table[c][row].as_py() for c in "hwdf")
-    return wide(h, 6 if w else 8), wide(w, 5), np.frombuffer(d, np.int64), np.frombuffer(f, np.uint8)
+    ids = np.frombuffer(d[:8], np.int64)[0] + wide(d[9:], d[8]).astype(np.int64)
+    return wide(h, len(h) // len(ids)), wide(w, 5), ids, np.frombuffer(f, np.uint8)
 
 
 def message(rows: list[tuple]) -> pa.Table:
@@ -207,7 +221,7 @@ def tell_segments(groups: int):
         gram = s.gram[order]
         cut = np.searchsorted(gram, (np.arange(groups + 1, dtype=object) * 2**48 // groups).astype(np.uint64))
         cut[-1] = len(gram)
-        return message([(key[0].as_py(), int(g), 0, *pack(gram[a:b], s.whole[order[a:b]], s.doc[order[a:b]])) for g, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
+        return message([(key[0].as_py(), int(g), 0, *pack(gram[a:b], s.whole[order[a:b]], s.doc[order[a:b]], width=6)) for g, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
 
     return run
 
@@ -229,7 +243,7 @@ def compare_segments(key, table):
     rows, of = np.flatnonzero(tell)[back], shard[at][back]
     cut = np.searchsorted(of, np.arange(table.num_rows + 1))
     names = table["shard"].to_pylist()
-    return message([(names[k], 0, 1, *pack(g[r], w[r], least[r], number[r] > 1)) for k in range(table.num_rows) if len(r := rows[cut[k] : cut[k + 1]])])
+    return message([(names[k], 0, 1, *pack(segment_key(g[r], w[r]), None, least[r], number[r] > 1, width=7)) for k in range(table.num_rows) if len(r := rows[cut[k] : cut[k + 1]])])
 
 
 def tell_classes(groups: int):
