@@ -10,8 +10,8 @@ Parts are hash-joined, candidates pass a Hamming bound on bit sketches, and the
 Whole sets that are equal are one class from the start, so copies cost nothing further. A part
 shared by more than ``SMALL`` classes is hot: it gives a star, and a class whose hot parts are
 fewer than the agreements it is sure of is complete through its other parts. Only classes with
-more hot parts, which are large groups of near copies and boilerplate, meet again in the hot part,
-and only members of components still apart are paired there.
+more hot parts (large groups of near copies, short texts around a common passage) meet again: they
+share one of their rarest shingles, and only members of components still apart are paired there.
 
 Parts travel as packed arrays per receiving group. Nothing is dropped or capped.
 
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoweave.llm.common import LOWER, U64, Rolling, mix, pieces, shard_count, text_bytes, word_bounds, word_hashes
@@ -266,7 +266,7 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def apart_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of a hot part's members that are of different components and allowed by size."""
+    """Pairs of a shingle's members that are of different components and allowed by size."""
     node, comp, n = (table[c].to_numpy() for c in ("class", "component", "n"))
     order = np.argsort(n, kind="stable")
     node, comp, n = node[order], comp[order], n[order]
@@ -291,19 +291,18 @@ def link(docs: DataFrame) -> DataFrame:
     groups = shard_count(rows, "text", 20_000_000)
     dealt = rows.filter("doc_id is not null").select("text").mapInArrow(deal(groups), "g int, role int, class binary, count binary, keys binary")
     met = cut_lineage(dealt.groupBy("g").applyInArrow(meet, "a long, b long, role int"))
-    first = verified(rows, known, met.filter("role < 0").select("a", "b").distinct())
-    # hot parts: only classes that may depend on them, and only across components
-    hot = met.filter("role >= 0").select(F.col("a").alias("key"), F.col("b").alias("class"), "role")
-    counted = hot.groupBy("class", "role").agg(F.count("*").alias("hot")).join(known.select("class", "rep", "n", "sure0", "sure1"), "class")
-    needy = counted.filter(F.col("hot") >= F.when(F.col("role") == 0, F.col("sure0")).otherwise(F.col("sure1"))).select("class", "role", "rep", "n")
-    links = first
+    # classes that may depend on hot parts alone
+    hot = met.filter("role >= 0").groupBy(F.col("b").alias("class"), "role").agg(F.count("*").alias("hot")).join(known.select("class", "sure0", "sure1"), "class")
+    needy = cut_lineage(hot.filter(F.col("hot") >= F.when(F.col("role") == 0, F.col("sure0")).otherwise(F.col("sure1"))).select("class").distinct())
+    likely = allowed(known, met.filter("role < 0").select("a", "b").distinct())
+    # shingles of every class that is compared; a repeated id may have other texts, so the class decides which is meant
+    wanted = likely.select(F.col("a").alias("class")).union(likely.select("b")).union(needy).distinct().join(known.select("class", "rep"), "class")
+    texts = rows.join(wanted.select(F.col("rep").alias("doc_id"), "class"), "doc_id").select("class", "text")
+    hashed = cut_lineage(texts.mapInArrow(sets, "class long, hashes binary").dropDuplicates(["class"]))
+    links = verified(known, hashed, likely)
     if needy.limit(1).count():
-        so_far = components(first)
-        members = needy.join(so_far.withColumnRenamed("node", "rep"), "rep", "left").select("class", "role", "n", F.coalesce("component", "rep").alias("component"))
-        meeting = cut_lineage(hot.join(members, ["class", "role"]).select("key", "class", "n", "component").distinct())
-        several = meeting.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        again = meeting.join(several, "key").groupBy("key").applyInArrow(apart_pairs, "a long, b long")
-        links = first.unionByName(verified(rows, known, again.distinct()))
+        again = allowed(known, by_rarest(known, hashed, needy, links).distinct())
+        links = links.unionByName(verified(known, hashed, again))
     found = components(links)
     names = known.select("class", F.col("rep").alias("node")).join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
     # rows that share an id are one document, so a class is known by any of its ids through its rep
@@ -312,15 +311,42 @@ def link(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), linked.alias("component_id"))
 
 
-def verified(rows: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Links (a, b) between representatives among candidate pairs of classes."""
+def by_rarest(known: DataFrame, hashed: DataFrame, needy: DataFrame, links: DataFrame) -> DataFrame:
+    """Candidates (a, b) among ``needy`` classes that are not yet in one component.
+
+    Similar sets of n elements share one of their n - ceil(3n/4) + 1 rarest, by any one order. With
+    the rarest first, what many texts hold is only met by sets that hold little else.
+    """
+    listed = hashed.join(needy, "class").mapInArrow(one_by_one, "class long, n long, shingle long")
+    listed = cut_lineage(listed)
+    often = listed.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
+    # a shingle of one set cannot be shared, so it only takes its place among the rarest
+    ranked = listed.join(often, "shingle", "left").withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy(F.coalesce("often", F.lit(1)), "shingle")))
+    first = ranked.filter(F.col("often").isNotNull() & (F.col("rank") <= F.col("n") - F.ceil(3 * F.col("n") / 4) + 1)).select("shingle", "class", "n")
+    labels = components(links).withColumnRenamed("node", "rep")
+    members = first.join(known.select("class", "rep"), "class").join(labels, "rep", "left").select("shingle", "class", "n", F.coalesce("component", "rep").alias("component"))
+    members = cut_lineage(members)
+    several = members.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle")
+    return members.join(several, "shingle").groupBy("shingle").applyInArrow(apart_pairs, "a long, b long")
+
+
+def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, hashes) to a row per shingle."""
+    for b in batches:
+        size = np.array([len(h.as_py()) // 8 for h in b.column(1)], dtype=np.int64)
+        shingle = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), size)), pa.array(np.repeat(size, size)), pa.array(shingle)], names=["class", "n", "shingle"])
+
+
+def allowed(known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs of classes whose sizes and bit sketches allow the similarity."""
     left = known.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = known.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    likely = cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, "a long, b long"))
-    wanted = likely.select(F.col("a").alias("class")).union(likely.select("b")).distinct().join(known.select("class", "rep", "n"), "class")
-    # a repeated id may have other texts; the class decides which is meant
-    texts = rows.join(wanted.select(F.col("rep").alias("doc_id"), F.col("class")), "doc_id").select("class", "text")
-    hashed = cut_lineage(texts.mapInArrow(sets, "class long, hashes binary").dropDuplicates(["class"]))
+    return cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, "a long, b long"))
+
+
+def verified(known: DataFrame, hashed: DataFrame, likely: DataFrame) -> DataFrame:
+    """Links (a, b) between representatives among pairs of classes, by their shingles."""
     x = likely.join(hashed.select(F.col("class").alias("a"), F.col("hashes").alias("ha")), "a").join(hashed.select(F.col("class").alias("b"), F.col("hashes").alias("hb")), "b")
     good = x.select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long")
     names = known.select("class", "rep")
