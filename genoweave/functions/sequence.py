@@ -99,7 +99,7 @@ def run_kmers(run: Column, k: int) -> Column:
     )
 
 
-def pileup_symbols(bases: Column, longest_indel_digits: int = 3) -> Column:
+def pileup_symbols(bases: Column) -> Column:
     """Pileup base text with read starts, read ends and indel runs taken out.
 
     An indel run is '+n' or '-n' followed by n bases; n is data, so runs are removed one after
@@ -108,7 +108,7 @@ def pileup_symbols(bases: Column, longest_indel_digits: int = 3) -> Column:
     plain = F.replace(F.regexp_replace(bases, r"\^.", ""), F.lit("$"), F.lit(""))
     parts = F.split(plain, "[+-]")
     def tail(p):
-        digits = F.regexp_extract(p, f"^([0-9]{{1,{longest_indel_digits}}})", 1)
+        digits = F.regexp_extract(p, "^([0-9]+)", 1)
         skip = F.length(digits) + F.coalesce(digits.try_cast("int"), F.lit(0))
         return F.substring(p, skip + 1, F.length(p))
     rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), tail)

@@ -24,21 +24,22 @@ def split_multiallelic(calls: DataFrame) -> DataFrame:
     """One row per ALT; other ALTs become missing in GT, AD keeps (REF, own ALT), PL its three states.
 
     Depth of another ALT is never added to REF, and ``src_row``/``alt_index`` keep the lineage.
+    A record without an ALT stays one row: ``alt`` is null and ``alt_index`` 0.
     """
-    split = calls.select("*", F.posexplode("alts").alias("_p", "alt")).withColumn("alt_index", F.col("_p") + 1)
+    split = calls.select("*", F.posexplode_outer("alts").alias("_p", "alt")).withColumn("alt_index", F.coalesce(F.col("_p") + 1, F.lit(0)))
     index = F.col("alt_index")
     multi = F.size("alts") > 1
     gt = F.transform("gt", lambda a: F.when(a == 0, F.lit(0)).when(a == index, F.lit(1)))
-    ad = F.array(F.get("ad", F.lit(0)), F.get("ad", index))
+    ad = F.array(F.get("ad", F.lit(0)), F.when(index > 0, F.get("ad", index)))
     het, hom = (index * (index + 1) / 2).cast("int"), (index * (index + 1) / 2 + index).cast("int")
-    pl = F.array(F.get("pl", F.lit(0)), F.get("pl", het), F.get("pl", hom))
+    pl = F.array(F.get("pl", F.lit(0)), F.when(index > 0, F.get("pl", het)), F.when(index > 0, F.get("pl", hom)))
     keep = F.col("ad").isNotNull()
     return (
         split.withColumn("gt", F.when(multi, gt).otherwise(F.col("gt")))
         .withColumn("ad", F.when(multi & keep, ad).otherwise(F.col("ad")))
         .withColumn("pl", F.when(multi & F.col("pl").isNotNull(), pl).otherwise(F.col("pl")))
         .withColumn("original_alts", F.col("alts"))
-        .withColumn("alts", F.array("alt"))
+        .withColumn("alts", F.when(index > 0, F.array("alt")).otherwise(F.col("alts")))
         .drop("_p")
     )
 

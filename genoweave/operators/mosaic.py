@@ -23,11 +23,11 @@ def _strong(lod):
 
 
 def gate_columns(calls: DataFrame, stats: DataFrame) -> DataFrame:
-    """Join sample statistics and add the five boolean gates."""
+    """Join sample statistics and add the five boolean gates; a call without statistics fails the sample gate."""
     c = F.col
-    joined = calls.join(stats.select("sample_id", "call_rate", "baf_auto"), "sample_id")
+    joined = calls.join(stats.select("sample_id", "call_rate", "baf_auto"), "sample_id", "left")
     gates = {
-        "sample_qc": ~((c("call_rate") < 0.97) | (c("baf_auto") > 0.03)),
+        "sample_qc": F.coalesce(~((c("call_rate") < 0.97) | (c("baf_auto") > 0.03)), F.lit(False)),
         "not_CNP": ~c("type").startswith("CNP"),
         "marker_spacing_or_phase_concordance": (F.instr("chrom", "X") > 0) & (c("computed_gender") == "M")
         | (c("bdev") < 0.1) | (c("n50_hets") < 200000) | _strong(c("lod_baf_conc")),

@@ -161,7 +161,7 @@ def a21(v):
 
 
 @query("A40_model_comparison", """with b as (select qname, flag%256>=128 e, rname m, max(s1) s from v_sam group by 1,2,3), t as (select qname, m, sum(s) s from b group by 1,2), r as (select *, row_number() over (partition by qname order by s desc, m) i from t)
- select best_model, count(*) n, cast(sum(adv) as bigint) adv from (select a.qname, case when a.s=c.s then 'tie' else a.m end best_model, a.s-c.s adv from r a left join r c on a.qname=c.qname and c.i=2 where a.i=1) group by 1""")
+ select best_model, count(*) n, cast(sum(adv) as bigint) adv from (select a.qname, case when a.s=coalesce(c.s,0) then 'tie' else a.m end best_model, a.s-coalesce(c.s,0) adv from r a left join r c on a.qname=c.qname and c.i=2 where a.i=1) group by 1""")
 def a40(v):
     from genoweave.operators.kmers import compare_models
 

@@ -50,7 +50,7 @@ def n1(v):
     return primary(v).select("id", "gene", "selection", "transcript_id", "hgvsc")
 
 
-PRED = """select 'C'||cast(p_partkey as varchar) transcript_id, p_brand gene, {m} metric, {val} "value" from part where {w}"""
+PRED = """select n||cast(p_partkey as varchar) transcript_id, case when n='X' then 'OTHER' else p_brand end gene, {m} metric, {val} "value" from part, (select unnest(['X','C','M']) n) where {w}"""
 
 
 @query("N2_predictions_long", " union all ".join([
@@ -60,7 +60,7 @@ PRED = """select 'C'||cast(p_partkey as varchar) transcript_id, p_brand gene, {m
 def n2(v):
     r = structured.parse_responses(vep_documents(v), annotate.VEP_SCHEMA, "vep")
     t = r.select(F.explode(F.col("vep")[0]["transcript_consequences"]).alias("t")).select("t.*")
-    return annotate.predictions_long(t.filter("transcript_id like 'C%'"))
+    return annotate.predictions_long(t)
 
 
 def gnomad_documents(v):

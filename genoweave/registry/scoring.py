@@ -125,12 +125,12 @@ def st1(v):
     files = score_lines(v).withColumn("model", F.col("file"))
     files.select("model", "value").write.partitionBy("model").text(f"{base}/in")
     out = f"{base}/out"
-    # One folder per model: the file name carries the model, and a model is whole in one batch.
+    # The folder name carries the model; its files come in several batches.
     stream_in = f"{base}/in/*"
     g = genotypes(v)
-    resumable.run_catalog(v.spark, stream_in, g, out, identity=v.folder)
-    resumable.run_catalog(v.spark, stream_in, g, out, identity=v.folder)
-    return resumable.catalog_sums(v.spark, out).select("model", "raw_sum", "matched", "ambiguous_positions", "duplicate_rows", "allele_mismatch")
+    resumable.run_catalog(v.spark, stream_in, out, identity=v.folder, files_per_batch=7)
+    resumable.run_catalog(v.spark, stream_in, out, identity=v.folder, files_per_batch=7)
+    return resumable.catalog_sums(v.spark, out, g).select("model", "raw_sum", "matched", "ambiguous_positions", "duplicate_rows", "allele_mismatch")
 
 
 @query("ST2_unit_ledger", "select case when u is null then 'new' when c then 'complete' when f then 'failed' else 'review' end state, count(*) units from (select distinct user_id from events) left join (select user_id u, bool_or(event_type='purchase') c, bool_or(event_type='error') f from events where event_id%3=0 group by 1) on u=user_id group by 1")

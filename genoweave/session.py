@@ -30,8 +30,8 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where neither that setting nor a
-    checkpoint directory exists (tests, one machine) a temporary folder is made.
+    The cluster names it in ``spark.checkpoint.dir``. Only on one machine, where neither that
+    setting nor a checkpoint directory exists, a temporary folder is made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -39,6 +39,8 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="genoweave-"))
         current = context.getCheckpointDir()
     return current

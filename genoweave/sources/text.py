@@ -173,10 +173,10 @@ def read_headed(spark: SparkSession, path: str) -> DataFrame:
 
 def score_metadata(text: DataFrame, key: str = "file") -> DataFrame:
     """'#key=value' header lines of score files as one map per file."""
-    head = text.filter(F.col("value").startswith("#") & (F.instr("value", "=") > 0)).withColumn("_t", F.regexp_replace("value", r"^[#\s]+|\s+$", ""))
+    head = text.withColumn("_n", F.monotonically_increasing_id()).filter(F.col("value").startswith("#") & (F.instr("value", "=") > 0)).withColumn("_t", F.regexp_replace("value", r"^[#\s]+|\s+$", ""))
     pair = F.struct(F.lower(F.trim(F.substring_index("_t", "=", 1))).alias("k"), F.trim(F.expr("substring(_t, instr(_t, '=') + 1)")).alias("v"))
     # A score header has some twenty distinct keys; the last value of a key counts.
-    per = head.select(key, pair.alias("p")).groupBy(key, F.col("p.k").alias("k")).agg(F.max("p.v").alias("v"))
+    per = head.select(key, pair.alias("p"), "_n").groupBy(key, F.col("p.k").alias("k")).agg(F.max_by("p.v", "_n").alias("v"))
     return per.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("metadata"))
 
 

@@ -48,23 +48,18 @@ def score_batch(text: DataFrame, genotypes: DataFrame, columns: list[str] | None
     return counters.join(sums, "model", "left"), judged.filter("model_reason is not null").select("model", "model_reason")
 
 
-def run_catalog(
-    spark: SparkSession, catalog: str, genotypes: DataFrame, out: str, identity: str, columns: list[str] | None = None, files_per_batch: int = 1000
-) -> None:
-    """Score every new file of a catalogue folder and stop.
+def run_catalog(spark: SparkSession, catalog: str, out: str, identity: str, files_per_batch: int = 1000) -> None:
+    """Take in every new file of a catalogue folder and stop.
 
     The file source remembers finished files in its checkpoint, so a restart continues after the
     last committed batch. Each batch writes its own folder and overwrites it when replayed, so a
-    batch that died half-way leaves no second copy.
+    batch that died half-way leaves no second copy. A model's header and rows may lie in several
+    files and batches, so models are only judged where all batches are read together.
     """
     claim_identity(spark, out, identity)
 
     def write(batch: DataFrame, number: int) -> None:
-        text = batch.persist()
-        sums, failed = score_batch(text, genotypes, columns)
-        sums.write.mode("overwrite").parquet(f"{out}/sums/batch={number}")
-        failed.write.mode("overwrite").parquet(f"{out}/failed/batch={number}")
-        text.unpersist()
+        batch.write.mode("overwrite").parquet(f"{out}/lines/batch={number}")
 
     stream = (
         spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(catalog)
@@ -74,9 +69,14 @@ def run_catalog(
     query.awaitTermination()
 
 
-def catalog_sums(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/sums").drop("batch")
+def catalog_lines(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema("value string, file string").parquet(f"{out}/lines/*")
 
 
-def catalog_failures(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/failed").drop("batch")
+def catalog_sums(spark: SparkSession, out: str, genotypes: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Sums and counters of every whole model taken in so far."""
+    return score_batch(catalog_lines(spark, out), genotypes, columns)[0]
+
+
+def catalog_failures(spark: SparkSession, out: str, genotypes: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    return score_batch(catalog_lines(spark, out), genotypes, columns)[1]

@@ -110,3 +110,24 @@ def test_files_read_back(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "x.json").write_text('{"a": 1}')
     assert structured.read_json_documents(spark, str(tmp_path / "d")).first()["id"] == "x"
+
+
+def test_record_without_alt_stays_one_row(spark):
+    from genoweave.operators import alleles
+
+    df = spark.createDataFrame([(1, "A", [], [0, 0], [7], None), (2, "A", ["C", "G"], [1, 2], [5, 3, 2], None)], "src_row long, ref string, alts array<string>, gt array<int>, ad array<int>, pl array<int>")
+    got = sorted((r["src_row"], r["alt_index"], r["alt"], r["alts"], r["ad"]) for r in alleles.split_multiallelic(df).collect())
+    assert got == [(1, 0, None, [], [7]), (2, 1, "C", ["C"], [5, 3]), (2, 2, "G", ["G"], [5, 2])]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    import types
+
+    import pytest
+
+    from genoweave.session import shared_folder
+
+    context = types.SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    cluster = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, d: d), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(cluster)

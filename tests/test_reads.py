@@ -137,11 +137,11 @@ def test_catalog_resumes_and_guards_identity(spark, tmp_path):
     head = "#HmPOS_build=GRCh38\n#weight_type=beta\nhm_chr\thm_pos\teffect_allele\teffect_weight\n"
     (src / "PGS000001.txt").write_text(head + "1\t10\tc\t0.5\n1\t10\tC\t0.5\n1\t11\tC\t1\n1\t11\tC\t2\n")
     geno = spark.createDataFrame([("1", 10, ["A", "C"], {"A": 1, "C": 1}), ("1", 11, ["A", "C"], {"A": 0, "C": 2})], "chrom string, pos long, alleles array<string>, counts map<string,int>")
-    resumable.run_catalog(spark, str(src), geno, str(out), "run-1")
+    resumable.run_catalog(spark, str(src), str(out), "run-1", 1)
     (src / "PGS000002.txt").write_text(head.replace("GRCh38", "GRCh37") + "1\t10\tC\t1\n")
-    resumable.run_catalog(spark, str(src), geno, str(out), "run-1")
-    rows = resumable.catalog_sums(spark, str(out)).collect()
+    resumable.run_catalog(spark, str(src), str(out), "run-1", 1)
+    rows = resumable.catalog_sums(spark, str(out), geno).collect()
     assert [(r["model"], r["raw_sum"], r["matched"], r["ambiguous_positions"], r["duplicate_rows"]) for r in rows] == [("PGS000001", 0.5, 1, 1, 2)]
-    assert [r["model"] for r in resumable.catalog_failures(spark, str(out)).collect()] == ["PGS000002"]
+    assert [r["model"] for r in resumable.catalog_failures(spark, str(out), geno).collect()] == ["PGS000002"]
     with pytest.raises(ValueError, match="other inputs"):
-        resumable.run_catalog(spark, str(src), geno, str(out), "run-2")
+        resumable.run_catalog(spark, str(src), str(out), "run-2")
