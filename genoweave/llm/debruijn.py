@@ -2,7 +2,7 @@
 
 Edges are windows of ``WIDTH`` words. Neighbouring windows that share an anchor (their leftmost
 least gram of ``GRAM`` words) always come together, so a task emits them as one path piece with the
-hash of all its words, the pieces before and after it, and its place. Pieces seen twice or more are
+hash of all its words and its place. Pieces seen twice or more are
 repeated. Where a repeated piece has one successor and that one no other predecessor, the two are
 linked, and pointer jumping in Spark joins compacts the links to paths without branches. Places of
 a path in the documents give its spans, which must have the path's length at every place.
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoweave.llm.common import Segments, pieces, text_bytes, word_bounds, word_hashes
@@ -43,20 +43,15 @@ def batch_segments(column: pa.Array) -> Iterator[tuple[int, np.ndarray, Segments
 
 
 def path_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text) to (piece, anchor, before, after, row, start, count); before and after are 0 at a text's ends."""
+    """(row, text) to (piece, anchor, row, start, count)."""
     for b in batches:
         for lo, first, s in batch_segments(b.column(1)):
             n = len(s.start)
             if n == 0:
                 continue
-            whole = s.whole.view(np.int64)
-            follows = s.text[1:] == s.text[:-1]
-            before, after = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            before[1:][follows] = whole[:-1][follows]
-            after[:-1][follows] = whole[1:][follows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(whole), pa.array(s.gram.view(np.int64)), pa.array(before), pa.array(after), b.column(0).take(pa.array(s.text + lo)), pa.array((s.start - first[s.text]).astype(np.int32)), pa.array(s.count.astype(np.int32))],
-                names=["piece", "anchor", "before", "after", "row", "start", "count"],
+                [pa.array(s.whole.view(np.int64)), pa.array(s.gram.view(np.int64)), b.column(0).take(pa.array(s.text + lo)), pa.array((s.start - first[s.text]).astype(np.int32)), pa.array(s.count.astype(np.int32))],
+                names=["piece", "anchor", "row", "start", "count"],
             )
 
 
@@ -119,17 +114,20 @@ def compact(repeated: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def spans(rows: DataFrame) -> DataFrame:
     """(row, text) to repeated spans (row, start, end, path); path is null for single edges at a repeat's ends."""
-    found = cut_lineage(rows.mapInArrow(path_pieces, "piece long, anchor long, before long, after long, row long, start int, count int"))
-    distinct = found.groupBy("piece").agg(
-        F.count("*").alias("times"), F.first("anchor").alias("anchor"), F.first("count").alias("count"),
-        F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1"), F.min(F.struct("row", "start")).alias("holder"),
-    )
+    found = cut_lineage(rows.mapInArrow(path_pieces, "piece long, anchor long, row long, start int, count int"))
+    distinct = found.groupBy("piece").agg(F.count("*").alias("times"), F.first("anchor").alias("anchor"), F.first("count").alias("count"), F.min(F.struct("row", "start")).alias("holder"))
     distinct = cut_lineage(distinct)
-    repeated = distinct.filter("times > 1")
-    only = lambda lo, hi: F.when((F.col(lo) == F.col(hi)) & (F.col(lo) != 0), F.col(lo))
-    paths = compact(cut_lineage(repeated.select("piece", "count", only("b0", "b1").alias("only_before"), only("a0", "a1").alias("only_after"))))
+    repeated = distinct.filter("times > 1").select("piece")
+    places = cut_lineage(found.select("piece", "row", "start", "count").join(repeated, "piece").distinct())
+    # neighbours of a repeated piece: 0 at a text's end or beside a piece that is not repeated
+    w = Window.partitionBy("row").orderBy("start")
+    before = F.when(F.lag("start").over(w) + F.lag("count").over(w) == F.col("start"), F.lag("piece").over(w))
+    after = F.when(F.col("start") + F.col("count") == F.lead("start").over(w), F.lead("piece").over(w))
+    beside = places.select("piece", "count", F.coalesce(before, F.lit(0)).alias("b"), F.coalesce(after, F.lit(0)).alias("a"))
+    only = lambda c: F.when((F.min(c) == F.max(c)) & (F.min(c) != 0), F.min(c))
+    paths = compact(cut_lineage(beside.groupBy("piece").agg(F.first("count").alias("count"), only("b").alias("only_before"), only("a").alias("only_after"))))
     # whole paths: a place of a path is where its pieces' starts, less their offsets, agree
-    placed = found.select("piece", "row", "start", "count").join(paths, "piece").groupBy("row", "path", (F.col("start") - F.col("offset")).alias("begin"))
+    placed = places.join(paths, "piece").groupBy("row", "path", (F.col("start") - F.col("offset")).alias("begin"))
     placed = placed.agg(F.min("start").cast("long").alias("start"), F.max(F.col("start") + F.col("count") + (WIDTH - 1)).cast("long").alias("end"))
     whole = placed.select("row", "start", "end", "path")
     # anchors of several pieces: edge by edge
