@@ -266,15 +266,20 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def apart_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of a shingle's members that are of different components and allowed by size."""
-    node, comp, n = (table[c].to_numpy() for c in ("class", "component", "n"))
+    """Pairs of a shingle's members that are of different components and allowed by size and place.
+
+    What two sets share from their first common shingle on is no more than the shorter rest, so a
+    pair whose rests are too short has met at an earlier shingle or is not similar.
+    """
+    node, comp, n, rank = (table[c].to_numpy() for c in ("class", "component", "n", "rank"))
     order = np.argsort(n, kind="stable")
-    node, comp, n = node[order], comp[order], n[order]
+    node, comp, n, rest = node[order], comp[order], n[order], (n - rank + 1)[order]
     a, b = [], []
     if len(np.unique(comp)) > 1:
+        to = np.searchsorted(n, n * 4 // 3, side="right")
         for i in range(len(n) - 1):
-            to = np.searchsorted(n, n[i] * 4 // 3, side="right")
-            other = np.flatnonzero(comp[i + 1 : to] != comp[i]) + i + 1
+            x = slice(i + 1, to[i])
+            other = np.flatnonzero((comp[x] != comp[i]) & (7 * np.minimum(rest[x], rest[i]) >= 3 * (n[x] + n[i]))) + i + 1
             a.append(np.full(len(other), node[i]))
             b.append(node[other])
     a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
@@ -322,9 +327,9 @@ def by_rarest(known: DataFrame, hashed: DataFrame, needy: DataFrame, links: Data
     often = listed.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
     # a shingle of one set cannot be shared, so it only takes its place among the rarest
     ranked = listed.join(often, "shingle", "left").withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy(F.coalesce("often", F.lit(1)), "shingle")))
-    first = ranked.filter(F.col("often").isNotNull() & (F.col("rank") <= F.col("n") - F.ceil(3 * F.col("n") / 4) + 1)).select("shingle", "class", "n")
+    first = ranked.filter(F.col("often").isNotNull() & (F.col("rank") <= F.col("n") - F.ceil(3 * F.col("n") / 4) + 1)).select("shingle", "class", "n", F.col("rank").cast("long").alias("rank"))
     labels = components(links).withColumnRenamed("node", "rep")
-    members = first.join(known.select("class", "rep"), "class").join(labels, "rep", "left").select("shingle", "class", "n", F.coalesce("component", "rep").alias("component"))
+    members = first.join(known.select("class", "rep"), "class").join(labels, "rep", "left").select("shingle", "class", "n", "rank", F.coalesce("component", "rep").alias("component"))
     members = cut_lineage(members)
     several = members.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle")
     return members.join(several, "shingle").groupBy("shingle").applyInArrow(apart_pairs, "a long, b long")
