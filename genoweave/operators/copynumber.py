@@ -105,16 +105,18 @@ def baf_calls(calls: DataFrame) -> DataFrame:
     )
 
 
-def window_baf(hets: DataFrame, windows: DataFrame, keys: list[str], window_span: Span) -> DataFrame:
+def window_baf(hets: DataFrame, windows: DataFrame, window_span: Span) -> DataFrame:
     """Het count and median |BAF - 0.5| per window; windows without hets keep NULL.
 
+    Windows of several samples that lie at one place all get what the calls say of that place.
     Depth is 20 to 120, so a window has few thousand distinct fractions to keep.
     """
-    met = asof_join(hets.select("contig", "pos", "baf"), windows.select(*keys, *{window_span.contig, window_span.start, window_span.end} - set(keys)), "contig", "pos", window_span)
-    per = met.groupBy(*keys).agg(
+    place = [window_span.contig, window_span.start, window_span.end]
+    met = asof_join(hets.select("contig", "pos", "baf"), windows.select(*place).distinct(), "contig", "pos", window_span)
+    per = met.groupBy(*place).agg(
         F.count("*").alias("het_count"), F.percentile(F.abs(F.col("baf") - 0.5), F.lit(0.5)).alias("median_abs_baf")
     )
-    return windows.join(per, keys, "left").withColumn("het_count", F.coalesce("het_count", F.lit(0)))
+    return windows.join(per, place, "left").withColumn("het_count", F.coalesce("het_count", F.lit(0)))
 
 
 def chromosome_summary(windows: DataFrame, keys: list[str], ratio: str) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoweave.session import cut_lineage
+
 BIN = "_bin"
 
 
@@ -42,3 +44,17 @@ def islands(df: DataFrame, keys: list[str], order: list[str], is_break: str, nam
     flagged = df.withColumn("_hit", F.col(is_break).cast("long"))
     carried = carry(flagged, keys, {"_runs_before": (F.sum("_hit"), "sum")})
     return carried.withColumn(name, F.col("_runs_before") + F.sum("_hit").over(local)).drop("_hit", "_runs_before")
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
+    """Every row with its place (from 1) in the whole order.
+
+    Rows go to range partitions, are sorted there and written once; a row's place is its place in
+    its partition and the number of rows of the partitions before, of which there is one row each.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = cut_lineage(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return placed.join(before, "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")

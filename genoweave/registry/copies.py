@@ -45,10 +45,10 @@ def hets(v):
     return cn.baf_calls(shared.calls(v)).filter("reason is null")
 
 
-@query("A5_window_baf", f"""select sample, chrom, b_start, count(baf) het_count, round(quantile_cont(abs(baf-0.5),0.5),6) median_abs_baf from v_bins left join {ACCEPTED} on contig=chrom and pos-1>=b_start and pos-1<b_end where sample='A' group by 1,2,3""")
+@query("A5_window_baf", f"""select sample, chrom, b_start, count(baf) het_count, round(quantile_cont(abs(baf-0.5),0.5),6) median_abs_baf from v_bins left join {ACCEPTED} on contig=chrom and pos-1>=b_start and pos-1<b_end group by 1,2,3""")
 def a5(v):
-    w = shared.bins(v, clean=False).filter("sample = 'A'").select("sample", F.col("chrom"), "start", "end")
-    out = cn.window_baf(hets(v), w, ["sample", "chrom", "start"], Span("chrom", "start", "end"))
+    w = shared.bins(v, clean=False).select("sample", "chrom", "start", "end")
+    out = cn.window_baf(hets(v), w, Span("chrom", "start", "end"))
     return out.select("sample", "chrom", F.col("start").alias("b_start"), "het_count", F.round("median_abs_baf", 6).alias("median_abs_baf"))
 
 

@@ -20,16 +20,15 @@ def vcf_lines(v):
     sample = F.concat_ws(":", "gt", F.concat_ws(",", "ad0", "ad1"), dot("dp"), dot("gq"))
     trimmed = F.when(F.col("src_row") % 10 == 0, F.col("gt")).otherwise(sample)
     info = F.concat(F.lit("SRC="), F.col("src_row"), F.lit(";DB;SIG="), F.regexp_replace("pr", "[ -]", "_"))
-    line = F.concat_ws("\t", "contig", "pos", F.lit("."), "ref", "alt", F.format_string("%.2f", "qual"), "flt", info, F.lit("GT:AD:DP:GQ"), trimmed)
+    line = F.concat_ws("\t", "contig", "pos", F.lit("."), "ref", "alt", F.format_string("%.2f", F.floor(F.col("qual") * 100 + 0.5) / 100), "flt", info, F.lit("GT:AD:DP:GQ"), trimmed)
     header = c.select(F.concat(F.lit("##status="), F.col("flt")).alias("value")).distinct()
     return c.select(line.alias("value")).unionByName(header)
 
 
-@query("S1_vcf_scan", "select contig, pos, ref, alt, flt, gt, cast(round(qual,2) as double) qual, src_row from v_calls where abs(qual*1000-floor(qual*1000)-0.5)>0.01 and cast(floor(abs(qual)*1000) as bigint)%10 not in (4,5)")
+@query("S1_vcf_scan", "select contig, pos, ref, alt, flt, gt, floor(qual*100.0e0+0.5e0)/100.0e0 qual, src_row from v_calls")
 def s1(v):
     p = text.parse_vcf(vcf_lines(v)).withColumn("src_row", F.col("info")["SRC"].cast("long"))
-    kept = p.join(v("v_calls").filter("abs(qual*1000-floor(qual*1000)-0.5)>0.01 and cast(floor(abs(qual)*1000) as bigint)%10 not in (4,5)").select("src_row"), "src_row", "left_semi")
-    return kept.select("contig", "pos", "ref", F.col("alts")[0].alias("alt"), F.when(F.size("filters") == 0, ".").otherwise(F.col("filters")[0]).alias("flt"), F.col("gt_text").alias("gt"), "qual", "src_row")
+    return p.select("contig", "pos", "ref", F.col("alts")[0].alias("alt"), F.when(F.size("filters") == 0, ".").otherwise(F.col("filters")[0]).alias("flt"), F.col("gt_text").alias("gt"), "qual", "src_row")
 
 
 @query("S2_format_zip", """select src_row, gt, case when src_row%10=0 then null else ad0 end ad_ref, case when src_row%10=0 then null else ad1 end ad_alt,
@@ -365,14 +364,13 @@ def a33(v):
     return strata.filter_histogram(shared.calls(v))
 
 
-@query("T1_genome_sort", "select contig, rn, src_row from (select *, row_number() over (order by cast(replace(contig,'chr','') as int), pos, ref, alt, src_row) rn from v_calls) where rn<=100")
+@query("T1_genome_sort", "select contig, rn, src_row from (select *, row_number() over (order by cast(replace(contig,'chr','') as int), pos, ref, alt, src_row) rn from v_calls)")
 def t1(v):
     ranks = v("v_calls").select("contig").distinct().withColumn("rank", F.regexp_replace("contig", "chr", "").cast("int"))
-    top = alleles.genome_sort(shared.calls(v), ranks).limit(100)
-    from pyspark.sql import Window
+    from genoweave.operators.ordered import ranked
 
-    order = Window.partitionBy(F.lit(1)).orderBy("rank", "pos", "ref", "alt", "src_row")
-    return top.withColumn("rn", F.row_number().over(order).cast("long")).select("contig", "rn", "src_row")
+    calls = alleles.genome_sort(shared.calls(v), ranks)
+    return ranked(calls, [F.col(c) for c in ("rank", "pos", "ref", "alt", "src_row")]).select("contig", "rn", "src_row")
 
 
 @query("U1_key_union", "select contig, count(*) n from (select contig,pos,ref,alt from v_core union select contig,pos,ref,alt from v_catalog) group by contig")
