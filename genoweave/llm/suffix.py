@@ -190,19 +190,25 @@ def wide(raw: bytes, n: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def pack(h=None, w=None, d=None, f=None, width: int = 8) -> tuple:
-    """Names in ``width`` bytes, whole-segment hashes in 5, ids as differences to the least one in as few bytes as they need."""
+def small(x: np.ndarray) -> bytes:
+    """Unsigned values in as few bytes each as the largest needs, which the first byte tells."""
+    size = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([size]) + narrow(x, size)
+
+
+def pack(h=None, w=None, d=None, f=None) -> tuple:
+    """Sorted names as the first one and steps, whole-segment hashes in 5 bytes, ids as differences to the least one, flags as bits."""
     low = int(d.min())
-    above = (d - low).astype(np.uint64)
-    size = max(1, (int(above.max()).bit_length() + 7) // 8)
-    ids = np.int64(low).tobytes() + bytes([size]) + narrow(above, size)
-    return narrow(h, width), narrow(w, 5), ids, b"" if f is None else f.astype(np.uint8).tobytes()
+    names = h[:1].tobytes() + small(np.diff(h))
+    ids = np.int64(low).tobytes() + small((d - low).astype(np.uint64))
+    return names, narrow(w, 5), ids, b"" if f is None else np.packbits(f).tobytes()
 
 
 def unpack(table: pa.Table, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     h, w, d, f = (table[c][row].as_py() for c in "hwdf")
     ids = np.frombuffer(d[:8], np.int64)[0] + wide(d[9:], d[8]).astype(np.int64)
-    return wide(h, len(h) // len(ids)), wide(w, 5), ids, np.frombuffer(f, np.uint8)
+    names = np.cumsum(np.concatenate([np.frombuffer(h[:8], U64), wide(h[9:], h[8])]), dtype=U64)
+    return names, wide(w, 5), ids, np.unpackbits(np.frombuffer(f, np.uint8))[: len(ids)]
 
 
 def message(rows: list[tuple]) -> pa.Table:
@@ -221,7 +227,7 @@ def tell_segments(groups: int):
         gram = s.gram[order]
         cut = np.searchsorted(gram, (np.arange(groups + 1, dtype=object) * 2**48 // groups).astype(np.uint64))
         cut[-1] = len(gram)
-        return message([(key[0].as_py(), int(g), 0, *pack(gram[a:b], s.whole[order[a:b]], s.doc[order[a:b]], width=6)) for g, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
+        return message([(key[0].as_py(), int(g), 0, *pack(gram[a:b], s.whole[order[a:b]], s.doc[order[a:b]])) for g, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
 
     return run
 
@@ -243,7 +249,14 @@ def compare_segments(key, table):
     rows, of = np.flatnonzero(tell)[back], shard[at][back]
     cut = np.searchsorted(of, np.arange(table.num_rows + 1))
     names = table["shard"].to_pylist()
-    return message([(names[k], 0, 1, *pack(segment_key(g[r], w[r]), None, least[r], number[r] > 1, width=7)) for k in range(table.num_rows) if len(r := rows[cut[k] : cut[k + 1]])])
+    key_of = segment_key(g, w)
+    out = []
+    for k in range(table.num_rows):
+        r = rows[cut[k] : cut[k + 1]]
+        if len(r):
+            r = r[np.argsort(key_of[r])]
+            out.append((names[k], 0, 1, *pack(key_of[r], None, least[r], number[r] > 1)))
+    return message(out)
 
 
 def tell_classes(groups: int):
