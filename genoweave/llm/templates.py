@@ -1,12 +1,16 @@
 """Main text of web pages by site template removal.
 
-A page becomes a tree of elements. What is never article text goes by its tag or by words of its
-class, id or role (menus, headers, footers, sidebars, notices, adverts, forms, reader comments).
-The article or main element is the region of interest, else the whole body. Inside the region,
-subtrees are hashed (tag, attributes and text), counted per host over distinct pages in Spark, and
-deleted where they recur on at least ``MIN_PAGES`` pages of that host. Paragraphs and headings of
-an article are text, not template, and a subtree with half of the region's text or more is kept,
-so copies of an article do not delete each other.
+A page becomes a tree of elements. Every subtree of the whole body (menus, headers, footers, adverts,
+paragraphs, lists, tables, links) is hashed (tag, class, id and text), counted per host over distinct
+pages in Spark, and deleted where it recurs on at least ``MIN_PAGES`` pages of that host. Only what is
+left goes by tags: the article or main element, else the whole body, without elements that are never
+article text by tag or class; that is for what a count cannot see (small hosts, menus that differ from
+page to page, reader comments).
+
+Copies of an article do not delete each other: a page of whose text (by tags) more than
+``COPY_TENTHS`` tenths recur has no vote in the count, though what the other pages vote out goes there
+too. Words in running text are no subtrees: of inline elements only links that stand alone are
+counted, and a table cell of plain text goes only with its row.
 
 Only (host, page digest, subtree) rows are counted; rows of one page are collapsed first and equal
 pages count once. Pages with something to delete are found by a join; the small side is broadcast
@@ -32,6 +36,7 @@ from genoweave.llm.url_markov import host_of
 from genoweave.session import cut_lineage
 
 MIN_PAGES = 5
+COPY_TENTHS = 9
 #: Rows of (host, page, subtrees) up to which the side with deletions is sent to every executor.
 BROADCAST_ROWS = 50_000
 
@@ -51,7 +56,8 @@ HINTS = re.compile(
     re.I,
 )
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-TEXT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre b i em strong a span code q cite small sub sup u s mark abbr time td th tr tbody thead tfoot caption figcaption li dt dd br".split())
+INLINE = frozenset("b i em strong span font code kbd samp var tt q cite small big sub sup u s ins del mark abbr dfn time data label bdi bdo".split())
+UNCOUNTED = frozenset(("", "html", "body", "head")) | INLINE | VOID | RAW
 
 
 class Node:
@@ -144,12 +150,14 @@ def walk(n: Node) -> Iterator[Node]:
         stack.extend(c for c in reversed(x.children) if isinstance(c, Node))
 
 
-def regions(root: Node) -> list[Node]:
-    """Topmost article elements outside unwanted parts, else main elements, else the whole page."""
+def regions(root: Node, gone: set = frozenset()) -> list[Node]:
+    """Topmost article elements outside unwanted and deleted parts, else main elements, else the whole page."""
     for wanted in (("article",), ("main",)):
         found, stack = [], [root]
         while stack:
             x = stack.pop()
+            if x in gone:
+                continue
             if x.tag in wanted or "main" in wanted and x.mark and re.search(r"(?:^|\s)main(?:$|\s)", x.mark) and x.tag in ("div", "section"):
                 if not unwanted(x):
                     found.append(x)
@@ -169,36 +177,73 @@ def kept_headings(n: Node) -> bool:
     return x is not None
 
 
-def digests(region: Node) -> dict[Node, tuple[int, int]]:
-    """Hash and text length of every subtree, children before parents."""
-    out: dict[Node, tuple[int, int]] = {}
-    for n in reversed(list(walk(region))):
-        h, size = hashlib.blake2b(f"{n.tag}\0{n.mark}\0".encode(), digest_size=8), 0
+def digests(root: Node) -> dict[Node, tuple[int, int, int]]:
+    """Hash, text length and length of the text directly inside of every subtree, children before parents."""
+    out: dict[Node, tuple[int, int, int]] = {}
+    for n in reversed(list(walk(root))):
+        h, size, direct = hashlib.blake2b(f"{n.tag}\0{n.mark}\0".encode("utf-8", "surrogatepass"), digest_size=8), 0, 0
         for c in n.children:
             if isinstance(c, Node):
-                if unwanted(c):
-                    continue
-                d, s = out[c]
+                d, s, _ = out[c]
                 h.update(b"\1" + d.to_bytes(8, "big", signed=True))
                 size += s
             else:
                 t = " ".join(c.split())
                 if t:
                     h.update(b"\2" + t.encode("utf-8", "surrogatepass"))
-                    size += len(t)
-        out[n] = int.from_bytes(h.digest(), "big", signed=True), size
+                    direct += len(t)
+        out[n] = int.from_bytes(h.digest(), "big", signed=True), size + direct, direct
     return out
 
 
-def deletable(found: list[Node]) -> dict[Node, int]:
-    """Subtrees of the regions that may be template, with their hashes."""
-    out = {}
-    for region in found:
-        containers = [n for n in walk(region) if n is not region and n.tag not in TEXT_ELEMENTS and n.tag not in ("html", "body", "article", "main") and n.tag not in VOID and n.tag not in RAW and not unwanted(n)]
-        if containers:
-            d = digests(region)
-            out |= {n: d[n][0] for n in containers if 0 < d[n][1] and 2 * d[n][1] < d[region][1]}
-    return out
+def counted(n: Node) -> bool:
+    """Whether a subtree can be template by itself."""
+    if n.tag in UNCOUNTED:
+        return False
+    if n.tag in ("td", "th"):
+        return any(isinstance(c, Node) and c.tag not in INLINE and c.tag not in VOID for c in n.children)
+    if n.tag == "a":
+        x = n.parent
+        while True:
+            if any(isinstance(c, str) and any(map(str.isalnum, c)) for c in x.children):
+                return False
+            if x.tag not in INLINE:
+                return True
+            x = x.parent
+    return True
+
+
+def deletable(root: Node) -> dict[Node, int]:
+    """Subtrees that may be template, with their hashes."""
+    d = digests(root)
+    return {n: d[n][0] for n in walk(root) if d[n][1] and counted(n)}
+
+
+def weighed(root: Node) -> tuple[dict[int, int], int]:
+    """Hash of every subtree that may be template, with the text in it and in no smaller one, and all text; both of what goes by tags as text."""
+    d, out, whole = digests(root), {}, 0
+    stack = [(r, None, True) for r in regions(root)]
+    inside = {r for r, _, _ in stack}
+    if root not in inside:
+        stack.append((root, None, False))
+    while stack:
+        n, holder, text = stack.pop()
+        if n in inside and not text:
+            continue
+        h, size, direct = d[n]
+        if not size:
+            continue
+        if n not in inside and unwanted(n):
+            text = False
+        if counted(n):
+            holder = h
+            out.setdefault(h, 0)
+        if text:
+            whole += direct
+            if holder is not None:
+                out[holder] += direct
+        stack.extend((c, holder, text) for c in n.children if isinstance(c, Node))
+    return out, whole
 
 
 def blocks(region: Node, gone: set) -> Iterator[str]:
@@ -222,7 +267,7 @@ def blocks(region: Node, gone: set) -> Iterator[str]:
             continue
         if x in gone or (x is not region and unwanted(x)):
             if x.tag == "header" and x not in gone and kept_headings(x) and not (x.mark and HINTS.search(x.mark)):
-                stack.extend((h, False) for h in reversed([n for n in walk(x) if re.fullmatch(r"h[1-6]|hgroup", n.tag)]))
+                stack.extend((h, False) for h in reversed([n for n in walk(x) if n not in gone and re.fullmatch(r"h[1-6]|hgroup", n.tag)]))
             if x.tag in BLOCKS:
                 if t := flush():
                     yield t
@@ -243,19 +288,22 @@ def blocks(region: Node, gone: set) -> Iterator[str]:
 def main_text(source: str | None, gone_hashes: frozenset = frozenset()) -> str:
     if not source:
         return ""
-    found = regions(parse(source))
-    gone = {n for n, h in deletable(found).items() if h in gone_hashes} if gone_hashes else set()
-    return "\n\n".join(b for r in found for b in blocks(r, gone))
+    root = parse(source)
+    gone = {n for n, h in deletable(root).items() if h in gone_hashes} if gone_hashes else set()
+    text = "\n\n".join(b for r in regions(root, gone) for b in blocks(r, gone))
+    return text or "\n\n".join(blocks(root, gone))
 
 
 def subtree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, html) to one row per page and distinct deletable subtree."""
+    """(host, page, html) to one row per page and distinct subtree that may be template."""
     for b in batches:
         hosts, pages, out = b.column(0).to_pylist(), b.column(1).to_pylist(), []
         for host, page, source in zip(hosts, pages, b.column(2), strict=True):
-            out += [(host, page, h) for h in set(deletable(regions(parse(source.as_py() or ""))).values())]
+            found, whole = weighed(parse(source.as_py() or ""))
+            out += [(host, page, h, own, whole) for h, own in found.items()]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["host", "page", "subtree"])
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "page", "subtree", "own", "whole"])
 
 
 def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,9 +316,13 @@ def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of rows with (page_id, url, html)."""
     keyed = pages.select("page_id", "url", "html", F.xxhash64(host_of(F.col("url"))).alias("host"), F.xxhash64("html").alias("page"))
-    found = cut_lineage(keyed.select("host", "page", "html").mapInArrow(subtree_rows, "host long, page long, subtree long"))
-    recurring = found.groupBy("host", "page", "subtree").agg(F.lit(1).alias("_")).groupBy("host", "subtree").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
-    gone = found.distinct().join(recurring.drop("pages"), ["host", "subtree"]).groupBy("host", "page").agg(F.collect_list("subtree").alias("gone"))
+    found = cut_lineage(keyed.select("host", "page", "html").mapInArrow(subtree_rows, "host long, page long, subtree long, own int, whole int"))
+    once = found.groupBy("host", "page", "subtree").agg(F.max("own").alias("own"), F.max("whole").alias("whole"))
+    again = found.groupBy("host", "page", "subtree").agg(F.lit(1).alias("_")).groupBy("host", "subtree").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
+    again = cut_lineage(once.join(again.drop("pages"), ["host", "subtree"]))
+    copies = again.groupBy("host", "page").agg(F.sum("own").alias("own"), F.max("whole").alias("whole")).filter(10 * F.col("own") > COPY_TENTHS * F.col("whole")).select("host", "page")
+    voted = again.join(copies, ["host", "page"], "left_anti").groupBy("host", "subtree").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
+    gone = again.select("host", "page", "subtree").join(voted.drop("pages"), ["host", "subtree"]).groupBy("host", "page").agg(F.collect_list("subtree").alias("gone"))
     gone = cut_lineage(gone)
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)

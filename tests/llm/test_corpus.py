@@ -184,6 +184,26 @@ def test_site_templates_go(spark):
     assert templates.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_count_decides_over_the_whole_body(spark):
+    """Recurring paragraphs, list items, links and parts longer than the article go; copies of an article stay."""
+    long = prose(900, 60)
+    page = lambda i, article, extra="": f"<body><div><a>Home</a> <a>Shop</a> <a>{prose(700 + i, 1)}</a></div><article>{article}<p>All rights reserved.</p><div>{long}</div><ul><li>Print this<li>{prose(800 + i, 3)}</ul></article>{extra}"
+    own = lambda i: f"<p>{prose(i, 30)} <b>the</b> {prose(50 + i, 5)}</p><table><tr><td>Yes<td>{prose(i, 2)}</table>"
+    copy = "".join(f"<p>{prose(300 + k, 30)}</p>" for k in range(20))
+    pages = [(i, "http://h/p", page(i, own(i))) for i in range(8)] + [(20 + i, "http://h/p", page(20 + i, copy + f"<p>Seen {i} times</p>", f"<p>{i}</p>")) for i in range(7)]
+    got = {r["page_id"]: r["text"] for r in templates.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i] == f"{prose(i, 30)} the {prose(50 + i, 5)}\n\nYes {prose(i, 2)}\n\n{prose(800 + i, 3)}"
+    for i in range(7):
+        assert got[20 + i] == "\n\n".join([prose(300 + k, 30) for k in range(20)] + [f"Seen {i} times", prose(820 + i, 3)])
+
+
+def test_count_sees_what_tags_skip():
+    nav = "<nav><p>Menu</p></nav><div class='ad'>Buy</div><footer><p>End</p></footer>"
+    hashes = set(templates.deletable(templates.parse(f"<body>{nav}<article><p>Text</p></article>")).values())
+    assert set(templates.deletable(templates.parse(nav)).values()) <= hashes and len(hashes) == 7
+
+
 def test_reparameterised_questions(spark, nothing):
     item = "Yesterday Tom Smith bought 12 apples and then Tom Smith walked 5 km to the old market near the river bank to sell all 12 apples again."
     texts = [item, item.replace("Tom", "Ann").replace("12", "31").replace("km", "miles"), item.replace("Tom", "Ann", 1), "other words entirely " * 10, None, ""]
