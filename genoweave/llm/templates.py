@@ -49,22 +49,25 @@ CLOSES_P = BLOCKS - {"body", "html", "caption", "legend", "summary", "tbody", "t
 SAME_KIND = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 NEVER = frozenset("head nav header footer aside form button select input dialog menu script style noscript template iframe object svg math canvas audio video textarea".split())
-#: Words of class, id or role that mark what is not article text.
-HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adslot|adbox|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|menubar|breadcrumbs?|header|masthead|footer|sidebar|aside|complementary|widget|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|"
-    r"newsletter|subscribe|subscription|signup|login|search|form|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|respond|discussion|contentinfo|skip|toolbar|pagination|pager|hidden|copyright)(?:$|[\s_-])",
-    re.I,
+#: Words of class, id, role or label that mark what is not article text, alone or with words of place and shape.
+HINT_WORDS = (
+    r"(?:ads?|advert[a-z]*|adslot|adbox|sponsor[a-z]*|promo[a-z]*|banner|nav|navbar|navigation|menu|menubar|breadcrumbs?|header|masthead|footer|sidebar|aside|complementary|widget|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|"
+    r"newsletter|subscribe|subscription|signup|login|search|form|share|sharing|social|related|recommend[a-z]*|comments?|commentlist|disqus|replies|respond|discussion|contentinfo|skip|toolbar|pagination|pager|hidden|copyright)"
 )
+PLACE_WORDS = r"(?:[a-z]?\d+[a-z]*|site|page|main|primary|secondary|top|bottom|left|right|upper|lower|inner|outer|global|local|mobile|desktop|wrap|wrapper|container|box|block|area|bar|section|region|panel|list|item|items|link|links|buttons?|icons?|posts?|articles?|stories|unit|slot|text|message|to|content|in|up|form)"
+HINTS = re.compile(rf"(?:^|\s)(?:{PLACE_WORDS}[_-]+)*{HINT_WORDS}(?:[_-]+(?:{PLACE_WORDS}|{HINT_WORDS}))*(?:$|\s)", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 INLINE = frozenset("b i em strong span font code kbd samp var tt q cite small big sub sup u s ins del mark abbr dfn time data label bdi bdo".split())
 UNCOUNTED = frozenset(("", "html", "body", "head")) | INLINE | VOID | RAW
 
 
 class Node:
-    __slots__ = ("tag", "mark", "children", "parent")
+    __slots__ = ("tag", "mark", "children", "parent", "holds")
 
     def __init__(self, tag: str, mark: str, parent):
         self.tag, self.mark, self.children, self.parent = tag, mark, [], parent
+        #: Whether it wraps the text: most of the page's, or the largest article or main (see ``mark_holders``).
+        self.holds = False
 
 
 def marks(attributes: str) -> str:
@@ -116,9 +119,45 @@ def parse(source: str) -> Node:
             here = node
     if at < len(source):
         here.children.append(source[at:])
+    mark_holders(root)
     return root
 
 
+def mark_holders(root: Node) -> None:
+    """What hints do not apply to: nodes with most of the page's text, the largest article and main, and their wrappers.
+
+    Wrappers of an article shorter than all that stays outside of unwanted parts (a teaser) are no wrappers of the text.
+    """
+    sizes: dict[Node, int] = {}
+    best: dict[str, tuple[int, Node]] = {}
+    for n in reversed(list(walk(root))):
+        sizes[n] = size = sum(sizes[c] if isinstance(c, Node) else len(c.strip()) for c in n.children)
+        if n.tag in ("article", "main") and size >= best.get(n.tag, (0, n))[0]:
+            best[n.tag] = size, n
+    for n, size in sizes.items():
+        n.holds = n.tag in ("", "html", "body") or 2 * size > sizes[root]
+    for _, n in best.values():
+        n.holds = True
+    if not any(hinted(n) or n.tag == "form" for _, n in best.values() for n in ancestors(n)):
+        return
+    outside, stack = 0, [root]
+    while stack:
+        x = stack.pop()
+        if not unwanted(x):
+            outside += sum(len(c.strip()) for c in x.children if isinstance(c, str))
+            stack.extend(c for c in x.children if isinstance(c, Node))
+    for size, n in best.values():
+        if size >= outside:
+            for x in ancestors(n):
+                x.holds = True
+
+
+def ancestors(n: Node) -> Iterator[Node]:
+    while n.parent is not None:
+        n = n.parent
+        yield n
+
+
 class Token:
     __slots__ = ("start", "end", "tag", "closing", "attributes")
 
@@ -138,8 +177,15 @@ def iter_tokens(source: str) -> Iterator[Token]:
         at = t.end
 
 
+def hinted(n: Node) -> bool:
+    return bool(n.mark and HINTS.search(n.mark))
+
+
 def unwanted(n: Node) -> bool:
-    return n.tag in NEVER or bool(n.mark and HINTS.search(n.mark))
+    """By tag, or by hints unless it wraps the text; a form around the whole page is a wrapper too."""
+    if n.tag in NEVER:
+        return not (n.tag == "form" and n.holds)
+    return not n.holds and hinted(n)
 
 
 def walk(n: Node) -> Iterator[Node]:
@@ -266,7 +312,7 @@ def blocks(region: Node, gone: set) -> Iterator[str]:
                 yield t
             continue
         if x in gone or (x is not region and unwanted(x)):
-            if x.tag == "header" and x not in gone and kept_headings(x) and not (x.mark and HINTS.search(x.mark)):
+            if x.tag == "header" and x not in gone and kept_headings(x) and "hidden" not in x.mark.split():
                 stack.extend((h, False) for h in reversed([n for n in walk(x) if n not in gone and re.fullmatch(r"h[1-6]|hgroup", n.tag)]))
             if x.tag in BLOCKS:
                 if t := flush():

@@ -204,6 +204,23 @@ def test_count_sees_what_tags_skip():
     assert set(templates.deletable(templates.parse(nav)).values()) <= hashes and len(hashes) == 7
 
 
+def test_wrappers_with_hinted_classes_keep_their_article():
+    text, side = prose(1, 40), "<div class='sidebar'>Side</div><div id='main-nav'>Menu</div><div class='related'><article>Teaser</article></div>"
+    for before, after in (
+        ("<body class='has-sidebar'><article>", "</article>"),
+        ("<body class='sidebar'><article>", "</article>"),
+        ("<body><div class='content with-sidebar'><article>", "</article></div>"),
+        ("<body><div class='content with-sidebar'><p>", "</p></div>"),
+        ("<body><div class='sidebar widget'><main>", "</main></div>"),
+        ("<body><article class='post category-social comments-open'>", "</article>"),
+        ("<body><article class='social'>", "</article>"),
+        ("<body><form id='form1'><div class='modal'><div>", "</div></div></form>"),
+    ):
+        assert templates.main_text(f"{before}{text}{after}{side}") == text
+    assert templates.main_text(f"<article><header class='entry-header'><h1>Head</h1><p>By</p></header><header class='header'><h2>Sub</h2></header><p>{text}</p></article>") == f"Head\n\nSub\n\n{text}"
+    assert templates.main_text(f"<body><p>{text}</p><p class='category-social'>Kept</p><p class='social'>Gone</p><p class='site-footer'>Gone</p>") == f"{text}\n\nKept"
+
+
 def test_reparameterised_questions(spark, nothing):
     item = "Yesterday Tom Smith bought 12 apples and then Tom Smith walked 5 km to the old market near the river bank to sell all 12 apples again."
     texts = [item, item.replace("Tom", "Ann").replace("12", "31").replace("km", "miles"), item.replace("Tom", "Ann", 1), "other words entirely " * 10, None, ""]
