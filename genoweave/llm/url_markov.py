@@ -115,7 +115,8 @@ def judge(pages: DataFrame, rules: list[Rule], order: int = 3, pseudo: float = 2
         passes = F.col("margin") >= (mean["allow"] + mean["block"]) / 2
     else:
         passes = F.lit(True)
-    verdicts = scored.filter("label is null").select(F.col("s").alias("_s"), F.when(passes, "allow").otherwise("block").alias("_guess"))
+    # variants of one text that differ in case may be decided and undecided, so every text has a guess
+    verdicts = scored.select(F.col("s").alias("_s"), F.when(passes, "allow").otherwise("block").alias("_guess"))
     out = parts.join(verdicts, "_s", "left")
     keep = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     return out.select(*keep, host.alias("host"), path.alias("path"), F.col("_rule").alias("rule"), F.coalesce("_decided", "_guess").alias("verdict"))

@@ -256,6 +256,14 @@ def test_url_edges(spark):
     assert all(r["verdict"] in ("allow", "block") for r in got)
 
 
+def test_case_variants_of_a_decided_url_have_a_verdict(spark):
+    urls = ["http://a.net/es/x", "http://a.net/ES/x", "http://A.net/es/X", "http://a.com/x", "http://b.org/es/x", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    judged = url_markov.judge(pages, url_markov.RULES).select("page_id", "host", "path", "rule", "verdict")
+    same(judged, registry.ORACLES["op8_url_markov"], SMALL, pages=pages.toArrow())
+    assert {r["page_id"]: r["verdict"] for r in judged.collect()}[1] in ("allow", "block")
+
+
 def test_pipeline_keeps_clean_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     folder, n = "/root/testdata/sf0.01", docs.count()
