@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words lose their case and outer punctuation; numbers, units after a number and names (capitals
-inside a sentence) become typed placeholders. Windows of eight such tokens of every document are
+inside a sentence) become typed placeholders; numbers or names with only white space between them
+(New York, twenty one) become one. Windows of eight such tokens of every document are
 hash-joined with those of the benchmark. Windows that lie at one displacement of a document and an
 item form a placement; its slots must be consistent: one value of the item's text stands for one
 value in the document throughout, so a re-parameterised question is caught and a chance likeness
@@ -9,8 +10,13 @@ of templates is not.
 
 A document task only emits windows whose hash is set in a bitmap of fixed size (2^22 bits) made from
 the benchmark; the join decides. A window needs four tokens that are not placeholders (half of it
-if an item is shorter than a window), and a placement needs ``MIN_WINDOWS`` windows or all of a short
-item.
+of an item's words if it is shorter than a window), and a placement needs ``MIN_WINDOWS`` windows or
+all of a short item.
+
+Beside it windows of plain words are joined, whatever they hold, so items of numbers or names and
+copies in another case are found too: also by ``MIN_WINDOWS`` windows or all of a short item, but a
+part of an item does not count where its template lies in the document with inconsistent slots.
+A slot that changes by small words between capitals (Lloyds -> Bank of England) still shifts the rest.
 
 Defined results: null and empty texts and items match nothing; a null doc_id is reported as null;
 repeated documents are reported once with the same count; columns beside (doc_id, text) and
@@ -26,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genoweave.llm.common import BYTE_VALUE, LOWER, U64, Rolling, pieces, text_bytes, word_bounds
+from genoweave.llm.common import BYTE_VALUE, IS_SPACE, LOWER, U64, Rolling, pieces, text_bytes, word_bounds
 from genoweave.session import cut_lineage
 
 WINDOW = 8
@@ -46,6 +52,7 @@ DIGIT = np.zeros(256, dtype=bool)
 DIGIT[48:58] = True
 STOP = np.zeros(256, dtype=bool)
 STOP[list(b".!?\n:")] = True
+PLAIN = 0x5BD1E9955BD1E995
 NUMBER, UNIT, NAME = (U64(x) for x in (0x6E756D62, 0x756E6974, 0x6E616D65))
 
 
@@ -62,8 +69,8 @@ def among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
 
 
-def templates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template token hashes, slot value hashes (0 where there is no slot) and first token of each text."""
+def templates(raw: np.ndarray, offsets: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template token hashes, slot value hashes (0 where there is no slot), words before each token and first token of each text; ``plain``: words as they are."""
     starts, ends, _ = word_bounds(raw, offsets)
     cores = np.flatnonzero(CORE[raw])
     at, to = np.searchsorted(cores, starts), np.searchsorted(cores, ends)
@@ -78,8 +85,8 @@ def templates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     words = Rolling(BYTE_VALUE[low]).slices(starts, ends)
     first = np.searchsorted(starts, offsets)
     n = len(starts)
-    if n == 0:
-        return words, words, first
+    if n == 0 or plain:
+        return words, np.zeros(n, dtype=np.uint64), np.arange(n + 1), first
     begins = np.zeros(n + 1, dtype=bool)
     begins[first] = True
     begins = begins[:n]
@@ -94,22 +101,32 @@ def templates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     name = upper & ~sentence & ~number & ~unit
     slot = number | unit | name
     token = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, words)))
-    return token, np.where(slot, words | U64(1), U64(0)), first
-
-
-def windows(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text, place in text, slots of the window) of windows with enough content tokens."""
-    token, value, first = templates(raw, offsets)
+    blank = np.concatenate([[0], np.cumsum(~IS_SPACE[raw])])
+    run = np.zeros(n, dtype=bool)
+    run[1:] = (token[1:] == token[:-1]) & (number | name)[1:] & (blank[starts[1:]] == blank[ends[:-1]]) & ~begins[1:]
+    at = np.flatnonzero(~run)
+    value = Rolling(words).slices(at, np.append(at[1:], n))
+    return token[at], np.where(slot[at], value | U64(1), U64(0)), np.append(at, n), np.searchsorted(at, first)
+
+
+def windows(raw: np.ndarray, offsets: np.ndarray, length: int, of_item: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, place in text, slots of the window) of windows with enough content tokens; of all windows of plain words if ``length`` is negative."""
+    plain, length = length < 0, abs(length)
+    token, value, words, first = templates(raw, offsets, plain)
     n = len(token) - length + 1
     if n <= 0:
         z = np.zeros(0, dtype=np.int64)
         return z.astype(np.uint64), z, z, np.zeros((0, length), dtype=np.uint64)
-    content = np.concatenate([[0], np.cumsum(value == 0)])
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    need = CONTENT if length >= WINDOW else -(-length // 2)
-    ok = (text[:n] == text[length - 1 :]) & (content[length:] - content[:n] >= need)
+    ok = text[:n] == text[length - 1 :]
+    if not plain:
+        content = np.concatenate([[0], np.cumsum(value == 0)])
+        found = content[length:] - content[:n]
+        ok &= found >= (CONTENT if length >= WINDOW else -(-length // 2))
+        if of_item and length < WINDOW:
+            ok &= 2 * found >= words[length:] - words[:n]
     at = np.flatnonzero(ok)
-    return Rolling(token).grams(length)[at], text[at], at - first[text[at]], np.lib.stride_tricks.sliding_window_view(value, length)[at]
+    return Rolling(token).grams(length)[at] ^ U64(PLAIN if plain else 0), text[at], at - first[text[at]], np.lib.stride_tricks.sliding_window_view(value, length)[at]
 
 
 FIELDS = "length int, hash long, place int, slots array<long>"
@@ -124,13 +141,13 @@ def window_rows(lengths: list[int], bitmap: np.ndarray | None):
             for lo, hi in pieces(offsets):
                 part, cuts = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 for length in lengths:
-                    h, text, place, slots = windows(part, cuts, length)
+                    h, text, place, slots = windows(part, cuts, length, bitmap is None)
                     if bitmap is not None:
                         keep = bitmap[(h >> U64(64 - BITS)).astype(np.int64)]
                         h, text, place, slots = h[keep], text[keep], place[keep], slots[keep]
                     if len(h) == 0:
                         continue
-                    lists = pa.ListArray.from_arrays(np.arange(len(h) + 1, dtype=np.int32) * length, pa.array(np.ascontiguousarray(slots).view(np.int64).ravel()))
+                    lists = pa.ListArray.from_arrays(np.arange(len(h) + 1, dtype=np.int32) * abs(length), pa.array(np.ascontiguousarray(slots).view(np.int64).ravel()))
                     yield pa.RecordBatch.from_arrays(
                         [b.column(0).take(pa.array(text + lo)), pa.array(np.full(len(h), length, np.int32)), pa.array(h.view(np.int64)), pa.array(place.astype(np.int32)), lists],
                         names=["id", "length", "hash", "place", "slots"],
@@ -142,19 +159,20 @@ def window_rows(lengths: list[int], bitmap: np.ndarray | None):
 def token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         raw, offsets = text_bytes(b.column(1))
-        _, _, first = templates(raw, offsets)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first).astype(np.int32))], names=["id", "tokens"])
+        for sign, plain in ((1, False), (-1, True)):
+            tokens = np.diff(templates(raw, offsets, plain)[3])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((sign * np.minimum(tokens, WINDOW)).astype(np.int32))], names=["id", "length"])
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, windows, of_windows, same_slots): items that a document holds, re-parameterised or not."""
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     items = benchmark.select(F.col("item_id").alias("id"), "text")
-    lengths_of = items.mapInArrow(token_counts, f"id {item_kind}, tokens int").filter("tokens > 0").select("id", F.least("tokens", F.lit(WINDOW)).alias("length")).distinct()
+    lengths_of = items.mapInArrow(token_counts, f"id {item_kind}, length int").filter("length <> 0").distinct()
     lengths_of = cut_lineage(lengths_of)
-    lengths = sorted(r["length"] for r in lengths_of.select("length").distinct().collect())  # eight values at most
+    lengths = sorted(r["length"] for r in lengths_of.select("length").distinct().collect())  # sixteen values at most
     if not lengths:
-        lengths = [WINDOW]
+        lengths = [-WINDOW, WINDOW]
     of_items = items.mapInArrow(window_rows(lengths, None), f"id {item_kind}, {FIELDS}").join(lengths_of, ["id", "length"]).distinct()
     of_items = cut_lineage(of_items.withColumnsRenamed({"id": "item_id", "place": "item_place", "slots": "item_slots"}))
     marks = of_items.select(F.shiftrightunsigned("hash", 64 - BITS).cast("int").alias("bit")).distinct().toPandas()["bit"].to_numpy()  # 2^22 values at most
@@ -166,18 +184,24 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return window_rows(lengths, np.unpackbits(shared.value).view(bool))(batches)
 
     seen = docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(of_docs, f"id {kind}, {FIELDS}").withColumnRenamed("id", "doc_id")
-    hits = seen.join(of_items, ["length", "hash"]).withColumn("shift", F.col("place") - F.col("item_place"))
-    hits = cut_lineage(hits.select("doc_id", "item_id", "shift", "item_place", "item_slots", "slots"))
-    pairs = hits.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("p"))
+    hits = seen.join(of_items, ["length", "hash"]).withColumns({"shift": F.col("place") - F.col("item_place"), "plain": F.col("length") < 0})
+    hits = cut_lineage(hits.select("doc_id", "item_id", "plain", "shift", "item_place", "item_slots", "slots"))
+    pairs = hits.filter("not plain").select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("p"))
     pairs = pairs.filter("p.item_slots <> 0").groupBy("doc_id", "item_id", "shift", F.col("p.item_slots").alias("value")).agg(F.min("p.slots").alias("lo"), F.max("p.slots").alias("hi"))
     odd = pairs.groupBy("doc_id", "item_id", "shift").agg(F.max(F.col("lo") != F.col("hi")).alias("odd"), F.min((F.col("lo") == F.col("value")) & (F.col("hi") == F.col("value"))).alias("same"))
-    odd = odd.withColumnsRenamed({"doc_id": "_d", "item_id": "_i", "shift": "_s"})
-    placed = hits.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("item_place").alias("windows"))
-    placed = placed.join(odd, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("shift") == F.col("_s")), "left")
-    total = of_items.groupBy("item_id").agg(F.countDistinct("item_place").alias("of_windows")).withColumnRenamed("item_id", "_t")
-    good = placed.filter(~F.coalesce("odd", F.lit(False))).join(total, F.col("item_id").eqNullSafe(F.col("_t")))
+    odd = odd.withColumns({"_p": F.lit(False)}).withColumnsRenamed({"doc_id": "_d", "item_id": "_i", "shift": "_s"})
+    placed = hits.groupBy("doc_id", "item_id", "plain", "shift").agg(F.countDistinct("item_place").alias("windows"))
+    placed = placed.join(odd, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("shift") == F.col("_s")) & (F.col("plain") == F.col("_p")), "left")
+    total = of_items.groupBy("item_id", (F.col("length") < 0).alias("_q")).agg(F.countDistinct("item_place").alias("of_windows")).withColumnRenamed("item_id", "_t")
+    good = placed.join(total, F.col("item_id").eqNullSafe(F.col("_t")) & (F.col("plain") == F.col("_q")))
     good = good.filter(F.col("windows") >= F.least(F.lit(MIN_WINDOWS), F.col("of_windows")))
-    return good.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.max("of_windows").alias("of_windows"), F.max(F.coalesce("same", F.lit(True))).alias("same_slots"))
+    is_odd, whole = F.coalesce("odd", F.lit(False)), F.col("windows") == F.col("of_windows")
+    # a template placement stands before one of plain words
+    best = F.max(F.when(~is_odd, F.struct(~F.col("plain"), "windows", "of_windows"))).alias("best")
+    good = good.groupBy("doc_id", "item_id").agg(
+        best, F.max(is_odd).alias("odd"), F.max(~is_odd & (~F.col("plain") | whole)).alias("sure"), F.max(F.when(~is_odd, F.coalesce("same", F.lit(True)))).alias("same_slots")
+    )
+    return good.filter("best is not null and (sure or not odd)").select("doc_id", "item_id", "best.windows", "best.of_windows", "same_slots")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

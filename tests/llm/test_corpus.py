@@ -231,6 +231,23 @@ def test_reparameterised_questions(spark, nothing):
     assert decontaminate.find(nothing, bench).count() == 0 and decontaminate.find(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_without_content_of_other_case_and_slot_length(spark):
+    """Arithmetic, names and title case verbatim, a lower-cased copy, and slots of another word count."""
+    items = [
+        "What is 12 + 30 - 4 * 7?",
+        "List: Ann, Bob, Carl, Dora, Emil, Fay, Gus, Hal, Ivy, Jon",
+        "What Is The Capital City Of The French Republic",
+        "Yesterday Tom Smith met Ann Lee near Oslo and Tom Smith gave Ann Lee some of the old coins that Ann Lee wanted.",
+        "a train leaves the station of Paris at dawn and carries 7 crates of fruit to the harbour",
+    ]
+    around = lambda t: f"{prose(1, 9)}. {t} {prose(2, 9)}"
+    texts = [around(items[0]), around(items[1]), around(items[2].lower()), around(items[3].lower()), around(items[4].replace("Paris", "New York").replace("7", "twenty one"))]
+    texts += ["What is 13 + 30 - 4 * 7?", "What Is This", "What is 12?", "List: Ann, Bob", prose(3, 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontaminate.find(df, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["same_slots"]) for r in got} == {(0, 0, True), (1, 1, True), (2, 2, True), (3, 3, True), (4, 4, False)}
+
+
 def test_counts_of_texts():
     texts = ["a b c a b c\nx y\n\nx y\nÉ #$|", "", "one"]
     raw = np.frombuffer("".join(texts).encode(), np.uint8)
