@@ -189,11 +189,12 @@ def a38(v):
 def g4(v):
     from genoweave.operators import alleles
 
-    rec = shared.seq_records(v).filter("length(seq) >= 60")
-    # A one-base deletion and insertion at every document's tenth base before its end.
-    c = rec.select("contig", F.substring("contig", 4, 20).cast("long").alias("src_row"), (F.length("seq") - 10).cast("long").alias("pos"), "seq")
+    rec = shared.seq_records(v).filter("length(seq) >= 2")
+    # A one-base deletion and insertion at every tenth base of each document, counted from its end.
+    places = F.sequence(F.greatest(F.length("seq") - 10, F.lit(1)), F.lit(1), F.lit(-10))
+    c = rec.select("contig", F.substring("contig", 4, 20).cast("long").alias("src_row"), F.explode(places).alias("pos"), "seq")
     both = F.explode(F.array(F.lit(0), F.lit(1)))
-    c = c.withColumn("kind", both).withColumn("src_row", F.col("src_row") * 2 + F.col("kind"))
+    c = c.withColumn("pos", F.col("pos").cast("long")).withColumn("kind", both).withColumn("src_row", F.shiftleft("src_row", 32) + F.col("pos") * 2 + F.col("kind"))
     first = F.expr("substring(seq, cast(pos as int), 1)")
     pair = F.expr("substring(seq, cast(pos as int), 2)")
     c = c.select("contig", "src_row", "pos", F.when(F.col("kind") == 0, pair).otherwise(first).alias("ref"), F.when(F.col("kind") == 0, first).otherwise(F.concat(first, first)).alias("alt"))

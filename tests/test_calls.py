@@ -131,3 +131,24 @@ def test_shared_folder_is_asked_for_on_a_cluster():
     cluster = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, d: d), sparkContext=context)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(cluster)
+
+
+def test_left_alignment_query_covers_whole_and_short_texts(spark):
+    from collections import Counter
+
+    from genoweave.registry import sequences
+
+    texts = {1: "AC", 2: "GGGGGGGGGGGG", 3: "ACGTTTTTTTGACACACACACACACACACAGGT" * 4, 4: "A", 5: "", 6: "C" * 130 + "ACGT" * 20}
+    want = Counter()
+    for d, t in texts.items():
+        for p in range(max(len(t) - 10, 1), 0, -10) if len(t) > 1 else ():
+            for ref, alt in ((t[p - 1 : p + 1], t[p - 1]), (t[p - 1], t[p - 1] * 2)):
+                at = p
+                while ref[-1] == alt[-1] and (at > 1 or min(len(ref), len(alt)) > 1):
+                    if min(len(ref), len(alt)) == 1:
+                        at -= 1
+                        ref, alt = t[at - 1] + ref, t[at - 1] + alt
+                    ref, alt = ref[:-1], alt[:-1]
+                want[f"doc{d}", at, ref, alt] += 1
+    reads = spark.createDataFrame(list(texts.items()), "doc_id long, seq string")
+    assert Counter(tuple(r) for r in sequences.g4(lambda _: reads).collect()) == want
