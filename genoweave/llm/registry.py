@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoweave.llm import debruijn, decision_list, decontaminate, mixing, parity_join, pu_quality, suffix, templates, url_markov, warc
+from genoweave.llm import byte_gru, debruijn, decision_list, decontaminate, hard_negatives, mixing, parity_join, pu_quality, suffix, templates, toivonen, url_markov, warc
 from genoweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,8 +55,20 @@ def op10_suffix(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.digest(suffix.dedup(table(spark, folder, "documents")))
 
 
-QUERIES = (op1_warc, op2_mixing, op3_templates, op4_decontaminate, op5_pu_quality, op6_parity_join, op7_debruijn, op8_url_markov, op9_decision_list, op10_suffix)
-ORACLES = {"op1_warc": warc.SQL, "op2_mixing": mixing.SQL, "op8_url_markov": url_markov.sql(url_markov.RULES)}
+def op11_toivonen(spark: SparkSession, folder: str) -> DataFrame:
+    return toivonen.mine(table(spark, folder, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, folder, "embeddings"))
+
+
+def op13_byte_gru(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_gru.identify(table(spark, folder, "documents"))
+
+
+QUERIES = (op1_warc, op2_mixing, op3_templates, op4_decontaminate, op5_pu_quality, op6_parity_join, op7_debruijn, op8_url_markov, op9_decision_list, op10_suffix, op11_toivonen, op12_hard_negatives, op13_byte_gru)
+ORACLES = {"op1_warc": warc.SQL, "op2_mixing": mixing.SQL, "op8_url_markov": url_markov.sql(url_markov.RULES), "op11_toivonen": toivonen.SQL, "op12_hard_negatives": hard_negatives.SQL}
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
