@@ -259,7 +259,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, each: int = BLOCKS_EACH, epochs
     names = sorted(sizes, key=lambda v: v.encode())
     share = sample / len(names)
     # a bound on the whole range of the hash, so small rates keep their meaning
-    bound = F.coalesce(*[F.when(F.col("lang") == v, F.lit(int(-(2**63) + min(1.0, share / sizes[v]) * (2**64 - 1)))) for v in names])
+    bound = F.coalesce(*[F.when(F.col("lang") == v, F.lit(min(2**63 - 1, int(-(2**63) + share / sizes[v] * 2**64)))) for v in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
