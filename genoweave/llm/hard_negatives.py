@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from genoweave.session import cut_lineage
 
-LEAF = 64
+LEAF = 128
 FAN = 8
 SHARD = 4_096
 ANCHORS = 1_024
@@ -76,11 +76,15 @@ class Tree:
 
     def __init__(self, x: np.ndarray):
         spread = np.argsort(-np.ptp(x.astype(float), axis=0), kind="stable") if len(x) else np.zeros(0, int)
-        self.x = x
-        self.rows = list(tiled(x, np.arange(len(x)), LEAF, list(spread[:3]))) if x.shape[1] else [np.arange(len(x))]
-        low, high = [x[r].min(axis=0) for r in self.rows], [x[r].max(axis=0) for r in self.rows]
-        self.children: list[range] = [range(0)] * len(self.rows)
-        level = range(len(self.rows))
+        leaves = list(tiled(x, np.arange(len(x)), LEAF, list(spread[:3]))) if x.shape[1] else [np.arange(len(x))]
+        #: Rows in leaf order, and where each leaf lies in it.
+        self.order = np.concatenate(leaves)
+        ends = np.cumsum([len(r) for r in leaves]).tolist()
+        self.leaves = list(zip([0, *ends], ends, strict=False))
+        self.blocks = [x[r] for r in leaves]
+        low, high = [b.min(axis=0) for b in self.blocks], [b.max(axis=0) for b in self.blocks]
+        self.children: list[range] = [range(0)] * len(leaves)
+        level = range(len(leaves))
         while len(level) > 1:
             made = len(low)
             for at in range(level.start, level.stop, FAN):
@@ -90,7 +94,6 @@ class Tree:
                 self.children.append(inner)
             level = range(made, len(low))
         self.low, self.high = np.array(low), np.array(high)
-        self.blocks = [x[r] for r in self.rows]
 
     def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest inner product of each anchor with anything in each box: (anchor, box)."""
@@ -99,39 +102,45 @@ class Tree:
 
 
 def search(tree: Tree, bounds: tuple[np.ndarray, np.ndarray], q: np.ndarray, ids: np.ndarray, allowed: np.ndarray, windows: list[tuple[int, int]], k: int) -> list[list[tuple[int, int]]]:
-    """For each score window the first k allowed rows, as (-score, id) in order, by one best-first queue."""
+    """For each score window the first k allowed rows, as (-score, id) in order, by one best-first queue.
+
+    ``ids`` and ``allowed`` follow ``tree.order``.
+    """
     least, most = bounds
     best: list[list[tuple[int, int]]] = [[] for _ in windows]
     # lowest score that still matters to a window: its lower end, later its kth best
     floor = [lo for lo, _ in windows]
-
-    def matters(box: int) -> bool:
-        a, b = least[box], most[box]
-        return any(b >= f and a <= hi for f, (_, hi) in zip(floor, windows, strict=True))
-
-    root = len(most) - 1
-    queue = [(-most[root], root)] if matters(root) else []
+    lows, highs = np.array(floor)[:, None], np.array([hi for _, hi in windows])[:, None]
+    meets = ((most >= lows) & (least <= highs)).any(axis=0).tolist()
+    top, lowest = max(hi for _, hi in windows), min(floor)
+    queue = [(-most[-1], len(most) - 1)] if meets[-1] else []
     while queue:
         bound, box = heapq.heappop(queue)
-        if -bound < min(floor):
+        if -bound < lowest:
             break
-        if not matters(box):
-            continue
         if tree.children[box]:
             for child in tree.children[box]:
-                if matters(child):
+                if meets[child] and most[child] >= lowest:
                     heapq.heappush(queue, (-most[child], child))
             continue
-        rows = tree.rows[box]
+        start, end = tree.leaves[box]
         score = tree.blocks[box] @ q
-        for w, (_, hi) in enumerate(windows):
-            hit = np.flatnonzero(allowed[rows] & (score >= floor[w]) & (score <= hi))
-            for i in hit:
-                insort(best[w], (-int(score[i]), int(ids[rows[i]])))
-            if len(best[w]) > k:
-                del best[w][k:]
-            if len(best[w]) == k:
-                floor[w] = max(floor[w], -best[w][-1][0])
+        hits = np.flatnonzero((score >= lowest) & (score <= top) & allowed[start:end])
+        if len(hits) > 4 * k and score.dtype != object:
+            # many rows alike: a window needs no more than its first k of them
+            inner = [hits[(score[hits] >= f) & (score[hits] <= hi)] for f, (_, hi) in zip(floor, windows, strict=True)]
+            hits = np.unique(np.concatenate([r[np.lexsort((ids[start + r], -score[r]))[:k]] for r in inner]))
+        for i in hits.tolist():
+            value, row = int(score[i]), int(ids[start + i])
+            for w, (_, hi) in enumerate(windows):
+                if floor[w] <= value <= hi:
+                    insort(best[w], (-value, row))
+                    if len(best[w]) > k:
+                        best[w].pop()
+                    if len(best[w]) == k:
+                        floor[w] = max(floor[w], -best[w][-1][0])
+        if len(hits):
+            lowest = min(floor)
     return best
 
 
@@ -232,7 +241,7 @@ def clipped(score: int) -> int:
 def opened(left: pa.Table, right: pa.Table) -> tuple[Tree, tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     x, q = comparable(matrix(left["q"]), matrix(right["point"]))
     tree = Tree(x)
-    return tree, tree.bounds(q), q, left["vec_id"].to_numpy(), left["label"].to_numpy()
+    return tree, tree.bounds(q), q, left["vec_id"].to_numpy()[tree.order], left["label"].to_numpy()[tree.order]
 
 
 def positives(rows: DataFrame, anchors: DataFrame, shards: int, blocks: int, k: int) -> DataFrame:
