@@ -1,16 +1,19 @@
 """Phrase collocations per language by Toivonen's sampling.
 
-A sample of the documents proposes phrases: runs of one to three words that it holds often, with
-a threshold lowered against misses. The full pass counts every word, and every longer run whose
-first and whose last words (all but one) are proposed: the proposals and their negative border,
-both exactly. A counted phrase that is frequent but was not proposed is a border failure. Failures
-join the proposals and another pass counts the runs that this opens, and only those, until no
-pass fails. A frequent phrase has frequent parts, so what is closed is complete.
-
-Proposals reach the tasks as bitmaps of hashes, one per length, of at most ``MOST_BITS`` bits each.
-A bit that two phrases share only makes more runs be counted; which runs a pass counts depends on
-nothing but their bits, so no run is counted twice or missed. Counts are grouped by the phrase
-itself; inside one chunk of about ``CHUNK`` bytes, runs with equal 64-bit hash are one.
+A sample of the documents proposes phrases: runs of one to three words that it holds often. The
+full pass counts every word, and every longer run whose first and whose last words (all but one)
+are proposed: the proposals and their negative border, both exactly. A counted run that is
+frequent but was not proposed is a border failure. The expansion pass counts the runs that hold a
+failure and that the full pass left out. It closes the search: take a frequent run that the full
+pass did not count, and in it the shortest part that was not proposed; all shorter parts of it
+are proposed, so the full pass counted that part, and found it frequent, as part of a frequent
+run. The run holds a failure and the expansion counts it. The same pass spells out what the full
+pass counted by hash.
+
+Proposals, failures and frequent runs reach the tasks as bitmaps of hashes of at most
+``MOST_BITS`` bits each. A bit that two runs share only makes more runs be counted; which runs a
+pass counts depends on nothing but their words, so no run is counted twice or in part. Runs with
+one 64-bit hash are taken as one run.
 
 Defined results: a null text is empty, a null language ``und``; pieces end at a text's end;
 repeated rows count each; an empty table gives no rows. Columns other than ``text``, ``lang`` and
@@ -35,11 +38,13 @@ LONGEST = 4
 LEAST = 30
 SAMPLE_RATE = 0.2
 #: Share of the expected sample count at which a phrase is proposed.
-SLACK = 0.4
+SLACK = 0.67
 MOST_BITS = 1 << 28
 LEAST_BITS = 1 << 16
 CHUNK = 2_000_000
 PAGE = 32768
+#: Keys that a task remembers as spelled out.
+REMEMBERED = 2_000_000
 
 #: 0 inside a word, 1 between words, 2 between pieces.
 KIND = np.zeros(256, dtype=np.uint8)
@@ -137,6 +142,28 @@ def _read(docs: DataFrame) -> DataFrame:
     return docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
 
 
+def numbers(m: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), m, np.int32)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["m", "key", "n"])
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("m", "key").agg(F.sum("n").alias("n"))
+
+
+def bitmaps(often: DataFrame, lengths: range, bits_each: int) -> list[np.ndarray]:
+    """One bitmap per length with the bits of (m, key) rows; Spark makes pages of them."""
+    sizes = {r["m"]: r["n"] for r in often.groupBy("m").agg(F.count("*").alias("n")).collect()}
+    bits = {m: min(MOST_BITS, max(LEAST_BITS, 1 << (bits_each * sizes.get(m, 1) - 1).bit_length())) for m in lengths}
+    width = F.coalesce(*[F.when(F.col("m") == m, F.lit(n)) for m, n in bits.items()])
+    slot = F.col("key").bitwiseAND(width - 1)
+    pages = often.select("m", slot.alias("slot")).groupBy("m", F.floor(F.col("slot") / PAGE).alias("page")).agg(F.bitmap_construct_agg((F.col("slot") % PAGE).cast("long")).alias("bits"))
+    out = {m: np.zeros(n // 8, dtype=np.uint8) for m, n in bits.items()}
+    for r in pages.toLocalIterator():
+        at = r["page"] * (PAGE // 8)
+        out[r["m"]][at : at + PAGE // 8] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return list(out.values())
+
+
 def propose(docs: DataFrame, rate: float, least: int) -> list[np.ndarray]:
     """Bitmaps of the runs of one, two and three words that a sample of the documents holds often."""
 
@@ -146,91 +173,107 @@ def propose(docs: DataFrame, rate: float, least: int) -> list[np.ndarray]:
                 for m in range(1, LONGEST):
                     ok = np.flatnonzero(runs.valid(m))
                     key, _, n = grouped(runs.keys(m)[ok], ok)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), m, np.int32)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["m", "key", "n"])
+                    yield numbers(m, key, n)
 
     # rate as a bound on the whole range of the hash, so small rates keep their meaning
-    bound = int(-(2**63) + rate * 2**64)
-    chosen = docs if rate >= 1 else docs.filter(F.xxhash64(F.col("doc_id").cast("string"), "text") < F.lit(bound))
-    counted = _read(chosen).mapInArrow(run, "m int, key long, n long").groupBy("m", "key").agg(F.sum("n").alias("n"))
-    often = cut_lineage(counted.filter(F.col("n") >= least).select("m", "key"))
-    sizes = {r["m"]: r["n"] for r in often.groupBy("m").agg(F.count("*").alias("n")).collect()}
-    bits = [min(MOST_BITS, max(LEAST_BITS, 1 << (16 * sizes.get(m, 0) - 1).bit_length() if sizes.get(m) else LEAST_BITS)) for m in range(1, LONGEST)]
-    return marked([np.zeros(n // 8, dtype=np.uint8) for n in bits], often)
+    bound = min(2**63 - 1, int(-(2**63) + rate * 2**64))
+    chosen = docs.filter(F.xxhash64(F.col("doc_id").cast("string"), "text") <= F.lit(bound))
+    counted = summed(_read(chosen).mapInArrow(run, "m int, key long, n long"))
+    return bitmaps(cut_lineage(counted.filter(F.col("n") >= least).select("m", "key")), range(1, LONGEST), 16)
 
 
-def marked(bitmaps: list[np.ndarray], keys: DataFrame) -> list[np.ndarray]:
-    """The bitmaps with the bits of (m, key) rows set; pages of them are made by Spark."""
-    width = F.element_at(F.array(*[F.lit(len(b) * 8) for b in bitmaps]), F.col("m"))
-    slot = F.col("key").bitwiseAND(width - 1)
-    pages = keys.select("m", F.expr("0L").alias("_"), slot.alias("slot")).groupBy("m", F.floor(F.col("slot") / PAGE).alias("page")).agg(F.bitmap_construct_agg((F.col("slot") % PAGE).cast("long")).alias("bits"))
-    out = [b.copy() for b in bitmaps]
-    for r in pages.toLocalIterator():
-        at = r["page"] * (PAGE // 8)
-        end = min(at + PAGE // 8, len(out[r["m"] - 1]))
-        out[r["m"] - 1][at:end] |= np.frombuffer(bytes(r["bits"]), dtype=np.uint8)[: end - at]
-    return out
+def opened(runs: Runs, proposed: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length: keys of all runs, which are inside a piece, and which the full pass counts."""
+    parts = None
+    for m in range(1, LONGEST + 1):
+        keys, inside = runs.keys(m), runs.valid(m)
+        yield m, keys, inside, inside if parts is None else inside & parts[:-1] & parts[1:]
+        parts = held(proposed[m - 1], keys) if m < LONGEST else None
 
 
-def count(docs: DataFrame, bitmaps: list[np.ndarray], before: list[np.ndarray] | None, least: int) -> DataFrame:
-    """Frequent phrases (lang, m, phrase, n, key, known) among the runs that ``bitmaps`` open and ``before`` did not.
+def count(docs: DataFrame, proposed: list[np.ndarray], least: int) -> DataFrame:
+    """(m, key, n) of the frequent runs of the full pass; m = 0 holds the number of words of a language."""
+    shared = docs.sparkSession.sparkContext.broadcast(proposed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for runs, _ in runs_of(b.column(0), b.column(1)):
+                key, _, n = grouped(runs.seed, runs.lang)
+                yield numbers(0, key, n)
+                for m, keys, _, ok in opened(runs, shared.value):
+                    first = np.flatnonzero(ok)
+                    key, _, n = grouped(keys[first], first)
+                    yield numbers(m, key, n)
+
+    total = summed(_read(docs).mapInArrow(run, "m int, key long, n long"))
+    return cut_lineage(total.filter((F.col("n") >= least) | (F.col("m") == 0)))
+
+
+def failures(counted: DataFrame, proposed: list[np.ndarray]) -> DataFrame:
+    """(m, key) of frequent runs, short enough to be part of a longer one, that were not proposed."""
+    shared = counted.sparkSession.sparkContext.broadcast(proposed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m, key = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            missed = np.zeros(len(b), bool)
+            for length in range(1, LONGEST):
+                missed |= (m == length) & ~held(shared.value[length - 1], key)
+            yield b.filter(pa.array(missed))
+
+    return cut_lineage(counted.filter(F.col("m").between(1, LONGEST - 1)).select("m", "key").mapInArrow(run, "m int, key long"))
 
-    Without ``before`` all words are counted too, and the empty phrase of length 0 holds their number.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((bitmaps, before))
+
+def expand(docs: DataFrame, proposed: list[np.ndarray], failed: list[np.ndarray] | None, frequent_bits: list[np.ndarray]) -> DataFrame:
+    """(lang, m, phrase, key, more): runs that hold a failure and were left out, with their number in ``more``, and runs and languages of the full pass with ``more`` null."""
+    shared = docs.sparkSession.sparkContext.broadcast((proposed, failed, frequent_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, old = shared.value
+        proposed, failed, frequent_bits = shared.value
+        known = np.zeros(0, np.uint64)
         for b in batches:
             for runs, names in runs_of(b.column(0), b.column(1)):
                 langs = pa.array(names, pa.string())
-                parts = []
-                if old is None:
-                    n = np.bincount(runs.lang, minlength=len(names))
-                    ids = np.flatnonzero(n)
-                    parts.append((ids, 0, pa.array([""] * len(ids), pa.string()), np.zeros(len(ids), np.uint64), n[ids], np.ones(len(ids), bool)))
-                hit, was = None, None
-                for m in range(1, LONGEST + 1):
-                    keys = runs.keys(m)
-                    ok = runs.valid(m)
-                    if m > 1:
-                        ok &= hit[:-1] & hit[1:]
-                        if old is not None:
-                            ok &= ~(was[:-1] & was[1:])
-                    if m > 1 or old is None:
-                        first = np.flatnonzero(ok)
-                        key, at, n = grouped(keys[first], first)
-                        known = held(now[m - 1], key) if m < LONGEST else np.ones(len(key), bool)
-                        parts.append((runs.lang[at], m, runs.phrases(at, m), key, n, known))
-                    if m < LONGEST:
-                        hit = held(now[m - 1], keys)
-                        was = held(old[m - 1], keys) if old is not None else None
-                for lang, m, phrase, key, n, known in parts:
-                    if len(lang):
-                        yield pa.RecordBatch.from_arrays(
-                            [langs.take(pa.array(lang)), pa.array(np.full(len(lang), m, np.int32)), phrase, pa.array(n.astype(np.int64)), pa.array(key.view(np.int64)), pa.array(known)],
-                            names=["lang", "m", "phrase", "n", "key", "known"],
-                        )
-
-    rows = _read(docs).mapInArrow(run, "lang string, m int, phrase string, n long, key long, known boolean")
-    total = rows.groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n"), F.min("key").alias("key"), F.min("known").alias("known"))
-    return cut_lineage(total.filter((F.col("n") >= least) | (F.col("m") == 0)))
+
+                def rows(m: int, at: np.ndarray, key: np.ndarray, n: np.ndarray | None, runs=runs, langs=langs) -> pa.RecordBatch:
+                    phrase = runs.phrases(at, m) if m else pa.array([""] * len(at), pa.string())
+                    more = pa.nulls(len(at), pa.int64()) if n is None else pa.array(n.astype(np.int64))
+                    return pa.RecordBatch.from_arrays([langs.take(pa.array(runs.lang[at])), pa.array(np.full(len(at), m, np.int32)), phrase, pa.array(key.view(np.int64)), more], names=["lang", "m", "phrase", "key", "more"])
+
+                key, at, _ = grouped(runs.seed, np.arange(runs.n))
+                yield rows(0, at, key, None)
+                fresh = []
+                bad = np.zeros(runs.n + 1, bool)  # whether a run of this length or a part of it failed
+                for m, keys, inside, ok in opened(runs, proposed):
+                    hit = np.flatnonzero(ok & held(frequent_bits[m - 1], keys))
+                    key, at, _ = grouped(keys[hit], hit)
+                    new = ~np.isin(key, known, assume_unique=True)
+                    fresh.append(key[new])
+                    yield rows(m, at[new], key[new], None)
+                    if failed is not None:
+                        bad = bad[: len(keys)] | bad[1 : len(keys) + 1]
+                        left = np.flatnonzero(inside & ~ok & bad) if m > 1 else hit[:0]
+                        if len(left):
+                            key, at, n = grouped(keys[left], left)
+                            yield rows(m, at, key, n)
+                        if m < LONGEST:
+                            bad = np.append(bad | held(failed[m - 1], keys), False)
+                known = np.union1d(known, np.concatenate(fresh)) if len(known) < REMEMBERED else np.zeros(0, np.uint64)
+
+    spelled = _read(docs).mapInArrow(run, "lang string, m int, phrase string, key long, more long")
+    return spelled.groupBy("lang", "m", "phrase", "key").agg(F.sum("more").alias("more"))
 
 
 def frequent(docs: DataFrame, least: int = LEAST, rate: float = SAMPLE_RATE) -> DataFrame:
     """(lang, m, phrase, n): every run of up to four words that a language holds ``least`` times, and m = 0 for all its words."""
-    bitmaps = propose(docs, rate, max(2, int(least * rate * SLACK)))
-    found, before = [], None
-    while True:
-        counted = count(docs, bitmaps, before, least)
-        found.append(counted.select("lang", "m", "phrase", "n"))
-        failed = counted.filter(~F.col("known") & F.col("m").between(1, LONGEST - 1)).select("m", "key")
-        if failed.isEmpty():
-            break
-        before, bitmaps = bitmaps, marked(bitmaps, failed)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    proposed = propose(docs, rate, max(2, int(least * rate * SLACK)))
+    counted = count(docs, proposed, least)
+    failed = failures(counted, proposed)
+    none = failed.isEmpty()
+    spelled = expand(docs, proposed, None if none else bitmaps(failed, range(1, LONGEST), 64), bitmaps(counted.filter("m > 0").select("m", "key"), range(1, LONGEST + 1), 64))
+    # a bit shared with a frequent run also spells out others; those have no count and go
+    both = spelled.join(counted, ["m", "key"], "left").withColumn("n", F.coalesce("n", "more"))
+    return cut_lineage(both.filter((F.col("n") >= least) | (F.col("m") == 0)).select("lang", "m", "phrase", "n"))
 
 
 def scored(grams: DataFrame) -> DataFrame:
