@@ -181,14 +181,15 @@ class Network:
                 grad["x"][i, :, unit] = np.bincount(spots, inner[i, unit].ravel(), 256)
         return float(loss), grad
 
-    def fit(self, both: np.ndarray, length: np.ndarray, target: np.ndarray, epochs: int = 8, rows: int = 64, rate: float = 0.015, seed: int = 3) -> Network:
-        """Adam with a falling rate; gradients are cut to length one."""
+    def fit(self, both: np.ndarray, length: np.ndarray, target: np.ndarray, updates: int = 500, rows: int = 64, rate: float = 0.015, seed: int = 3) -> Network:
+        """Adam with a falling rate; gradients are cut to length one. Few rows are gone through more often."""
         r = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
         batches = max(1, len(target) // rows)
-        step, last = 0, epochs * batches
-        for _ in range(epochs):
+        rounds = max(1, round(updates / batches))
+        step, last = 0, rounds * batches
+        for _ in range(rounds):
             for chosen in np.array_split(r.permutation(len(target)), batches):
                 _, grad = self.gradients(both[:, :, chosen], length[chosen], target[chosen])
                 size = np.sqrt(sum(float((d * d).sum()) for d in grad.values()))
@@ -250,7 +251,7 @@ def sample_blocks(raw: np.ndarray, offsets: np.ndarray, each: int) -> tuple[np.n
     return start[chosen], length[chosen], text[chosen]
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, each: int = BLOCKS_EACH, epochs: int = 8) -> Network | None:
+def train(docs: DataFrame, sample: int = SAMPLE, each: int = BLOCKS_EACH, updates: int = 500) -> Network | None:
     """Fit on about ``sample`` of the rows given, evenly over their languages; the driver holds ``each`` blocks of each."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), "text", F.col("doc_id").cast("string").alias("id"))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -276,7 +277,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, each: int = BLOCKS_EACH, epochs
     raw = np.frombuffer(b"".join(b for _, b in rows), np.uint8)
     place = {v: i for i, v in enumerate(names)}
     target = np.array([place[v] for v, _ in rows])
-    return Network(names).fit(directions(raw, np.cumsum(length) - length, length), length, target, epochs)
+    return Network(names).fit(directions(raw, np.cumsum(length) - length, length), length, target, updates)
 
 
 def predict(docs: DataFrame, network: Network | None) -> DataFrame:
