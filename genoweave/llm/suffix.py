@@ -35,32 +35,28 @@ REMAIN = "shard int, g int, kind int, h binary, w binary, d binary, f binary"
 # ---- suffix array of one shard's texts ----------------------------------------------------------
 
 
-def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-    """Order of all suffixes by their first ``depth`` bytes at least.
+def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Order of all suffixes, compared to their ends; equal ones go by place.
 
     ``ends[i]`` is where the text of place i ends; a suffix that ends sorts before one that goes on.
     Groups of equal suffixes are refined by the rank of what follows, over twice the length each
-    round; groups of one are left alone.
+    round; groups of one, and groups whose suffixes have all ended, are left alone.
     """
     n = len(text)
     key = np.zeros(n, dtype=np.uint64)
-    start = 7
+    h = 7
     left = ends - np.arange(n)
-    for k in range(start):
+    for k in range(h):
         at = np.minimum(np.arange(n) + k, n - 1)
         key = (key << U64(9)) | np.where(left > k, text[at].astype(np.uint64) + U64(1), U64(0))
     sa = np.argsort(key, kind="stable")
     s = key[sa]
     fresh = np.concatenate([[True], s[1:] != s[:-1]]) if n else np.zeros(0, bool)
-    head = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    run = np.cumsum(fresh) - 1
     rank = np.empty(n, dtype=np.int64)
-    rank[sa] = head
-    h = start
-    while h < depth:
-        size = np.bincount(rank, minlength=n)
-        slots = np.flatnonzero(size[rank[sa]] > 1)
-        if len(slots) == 0:
-            break
+    rank[sa] = np.flatnonzero(fresh)[run]
+    slots = np.flatnonzero((np.bincount(run)[run] > 1) & (left[sa] >= h)) if n else sa
+    while len(slots):
         here = sa[slots]
         follow = here + h
         second = np.where(follow < ends[here], rank[np.minimum(follow, n - 1)] + 1, 0)
@@ -68,8 +64,10 @@ def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
         here, second, first = here[order], second[order], rank[here][order]
         sa[slots] = here
         new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
-        rank[here] = np.maximum.accumulate(np.where(new, slots, 0))
+        run = np.cumsum(new) - 1
+        rank[here] = slots[new][run]
         h *= 2
+        slots = slots[(np.bincount(run)[run] > 1) & (left[here] >= h)]
     return sa
 
 
@@ -77,7 +75,7 @@ def common_prefixes(text: np.ndarray, ends: np.ndarray, sa: np.ndarray, most: in
     """Length, up to ``most``, that each suffix shares with the one before it in order.
 
     Kasai's scan in text order, where a suffix shares at least one byte less than the suffix one
-    place earlier did; many stretches of the text are scanned in step.
+    place earlier did, which holds as ``sa`` is sorted to the ends; many stretches of the text are scanned in step.
     """
     n = len(text)
     before = np.full(n, -1, dtype=np.int64)
@@ -274,7 +272,7 @@ def tell_classes(groups: int):
         if len(place) == 0:
             return message([])
         text = s.raw[place]
-        sa = suffix_array(text, ends, WIDTH)
+        sa = suffix_array(text, ends)
         prefix = common_prefixes(text, ends, sa, WIDTH)
         is_window = window[sa]
         new = (prefix < WIDTH)[is_window]

@@ -121,13 +121,20 @@ def test_earlier_byte_strings_go_as_by_brute_force(docs, nothing):
 
 
 def test_suffix_array_and_prefixes():
-    text = np.frombuffer(b"banana$bananas$nab", np.uint8)
-    ends = np.full(len(text), len(text))
-    sa = suffix.suffix_array(text, ends, 50)
-    whole = text.tobytes()
-    assert sa.tolist() == sorted(range(len(whole)), key=lambda i: whole[i:])
-    shared = lambda a, b: next((k for k in range(50) if whole[a + k : a + k + 1] != whole[b + k : b + k + 1] or not whole[a + k : a + k + 1]), 50)
-    assert suffix.common_prefixes(text, ends, sa, 50, 4).tolist() == [0] + [shared(sa[i - 1], sa[i]) for i in range(1, len(sa))]
+    r = np.random.default_rng(12)
+    passage = r.integers(97, 100, 200).astype(np.uint8).tobytes()
+    tail = b" licence " * 9
+    long = [passage[:n] + bytes([120 + n % 3]) + passage[n // 2 :] + tail for n in (200, 170, 64, 57, 56, 55)]
+    for texts in ([b"banana$bananas$nab"], long, [b"ab" * 150, b"ab" * 90, b"a" * 130], [b"", b"x", b"x"], [passage, passage, passage[1:]]):
+        whole = b"".join(texts)
+        text = np.frombuffer(whole, np.uint8)
+        ends = np.repeat(np.cumsum([len(t) for t in texts]), [len(t) for t in texts])
+        suffixes = [whole[i : ends[i]] for i in range(len(whole))]
+        sa = suffix.suffix_array(text, ends)
+        assert sa.tolist() == sorted(range(len(whole)), key=lambda i: (suffixes[i], i))
+        shared = [0] + [next((k for k in range(min(len(a), len(b), 50)) if a[k] != b[k]), min(len(a), len(b), 50)) for a, b in ((suffixes[x], suffixes[y]) for x, y in zip(sa[:-1], sa[1:], strict=True))]
+        for lane in (4, 512):
+            assert suffix.common_prefixes(text, ends, sa, 50, lane).tolist() == shared
 
 
 def same(df, sql, folder, **views):
