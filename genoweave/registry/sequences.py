@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from genoweave.functions import sequence as fs
 from genoweave.operators import kmers, transcripts
 from genoweave.registry import shared
 from genoweave.registry.core import query
-from genoweave.session import cut_lineage
-from genoweave.sources import text
+from genoweave.session import cut_lineage, shared_folder
+from genoweave.sources import fasta, text
 
 RC = "translate(reverse({0}),'ACGT','TGCA')"
 
@@ -31,9 +33,11 @@ def chunks(v, step=500):
 
 @query("S15_fasta_chunks", f"select contig, i chunk_id, substr(seq, cast(i*500+1 as int), 500) seq from (select *, unnest(range(0, (length(seq)-1)//500+1)) i from {DOCS})")
 def s15(v):
-    folded = F.concat(F.concat_ws(" ", "contig", F.lit("from text")), F.lit("\n"), F.expr("regexp_replace(lower(seq), '(.{60})', '$1\\n')"), F.lit("\n"))
-    records = shared.seq_records(v).select(folded.alias("value"))
-    return text.chunk_sequences(text.parse_fasta_records(records), step=500).select("contig", "chunk_id", "seq")
+    # Written as FASTA files first: soft-masked lines of 60 bases, a third of them with carriage returns.
+    lines = F.expr("regexp_replace(lower(seq), '(.{60})', if(length(seq) % 3 = 0, '$1\r\n', '$1\n'))")
+    path = f"{shared_folder(v.spark)}/genoweave-{uuid.uuid4().hex}"
+    shared.seq_records(v).select(F.concat(F.lit(">"), F.concat_ws(" ", "contig", F.lit("from text")), F.lit("\n"), lines).alias("value")).write.text(path)
+    return fasta.read_fasta(v.spark, path, step=500).select("contig", "chunk_id", "seq")
 
 
 @query("K1_read_kmers", f"""select kmer, count(*) n, count(distinct qname) templates from (select qname, {canon('substr(seq,cast(i as int),11)')} kmer from (select qname, seq, qual, unnest(range(1,41)) i from v_sam)

@@ -222,20 +222,6 @@ def chunk_sequences(records: DataFrame, step: int = CHUNK_STEP) -> DataFrame:
     )
 
 
-def parse_fasta_records(records: DataFrame) -> DataFrame:
-    """'>'-separated FASTA records to (contig, seq); the contig is the header's first word."""
-    text = F.regexp_replace("value", "\r", "")
-    head = F.substring_index(text, "\n", 1)
-    body = F.replace(F.expr("substring(regexp_replace(value, '\\r', ''), instr(regexp_replace(value, '\\r', ''), '\\n') + 1)"), F.lit("\n"), F.lit(""))
-    return records.filter(F.trim("value") != "").select(F.regexp_extract(head, r"^(\S+)", 1).alias("contig"), body.alias("seq"))
-
-
-def read_fasta(spark: SparkSession, path: str, step: int = CHUNK_STEP) -> DataFrame:
-    """FASTA files as sequence chunks. A record is one row while it is cut, as a chromosome fits
-    in a string; files with larger records should be split by contig first."""
-    return chunk_sequences(parse_fasta_records(spark.read.option("lineSep", ">").text(path)), step)
-
-
 def parse_obo(records: DataFrame) -> DataFrame:
     """'[Term]'-separated OBO records to (hpo_id, label)."""
     term = F.regexp_extract("value", r"(?m)^id: (HP:\S+)", 1)

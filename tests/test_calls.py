@@ -102,9 +102,6 @@ def test_files_read_back(spark, tmp_path):
         f.write("##x\n#CHROM\tPOS\n" + "chr1\t5\trs1\tA\tC\t3\tPASS\tA=1;B\tGT:DP\t0|1:9\n")
     r = text.read_vcf(spark, str(tmp_path / "a.vcf.gz")).first()
     assert (r["pos"], r["gt"], r["phased"], r["dp"], r["info"]["A"], r["info"]["B"]) == (5, [0, 1], True, 9, "1", "")
-    (tmp_path / "r.fa").write_text(">c1 text\nACGT\nacg\n>c2\nTT\n")
-    rows = {(r["contig"], r["chunk_id"]): r["seq"] for r in text.read_fasta(spark, str(tmp_path / "r.fa"), step=4).collect()}
-    assert rows == {("c1", 0): "ACGT", ("c1", 1): "ACG", ("c2", 0): "TT"}
     (tmp_path / "h.obo").write_text("format-version: 1\n\n[Term]\nid: HP:1\nname: One thing\n\n[Term]\nid: HP:2\nname: Two\n")
     assert {tuple(r) for r in text.read_obo(spark, str(tmp_path / "h.obo")).collect()} == {("HP:1", "One thing"), ("HP:2", "Two")}
     (tmp_path / "d").mkdir()
