@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from genoweave.functions import perread
 from genoweave.functions.alleles import let
 
 CIGAR_STEP = r"(\d+)([MIDNSHP=X])"
@@ -163,12 +164,7 @@ def entropy(sequence: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(F.bround(F.aggregate(symbols, F.lit(0.0), part), 4))
 
 
-def longest_exact(query: Column, target: Column, floor: int = 10, ceiling: int = 40) -> Column:
-    """Longest substring of ``query`` found in ``target``; 0 below the floor, at most the ceiling."""
-    q, t = F.upper(query), F.upper(target)
-    top = F.least(F.length(q), F.length(t), F.lit(ceiling))
-    def found(width):
-        starts = F.sequence(F.lit(1), F.length(q) - width + 1)
-        return F.exists(starts, lambda i: F.instr(t, F.substring(q, i, width)) > 0)
-    widths = F.filter(F.sequence(F.lit(floor), top), found)
-    return F.when(top >= floor, F.coalesce(F.array_max(widths), F.lit(0))).otherwise(F.lit(0))
+def longest_exact(query: Column, targets: list[str], floor: int = 10, ceiling: int = 40) -> Column:
+    """Longest substring of ``query`` found in a target; 0 below the floor, at most the ceiling."""
+    found = perread.longest_shared(targets)(query)
+    return F.when(found < floor, 0).when(found > ceiling, ceiling).otherwise(found).cast("int")

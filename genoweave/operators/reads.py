@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoweave.functions import reads as fr
-from genoweave.functions.sequence import reverse_complement
 from genoweave.operators.intervals import READ_BITS, Span, chain_clusters, overlap_join
 
 
@@ -53,11 +52,8 @@ def support_summary(clipped: DataFrame, keys: list[str], element: str | None = N
         "trailing_clips": F.count_if(F.col("side") == "trailing"),
     }
     if element is not None:
-        mobile = F.lit(element)
-        match = F.greatest(
-            fr.longest_exact(F.col("bases"), mobile, floor=8), fr.longest_exact(F.col("bases"), reverse_complement(mobile), floor=8)
-        )
-        clipped = clipped.withColumn("_match", match)
+        other = element.upper().translate(str.maketrans("ACGTN", "TGCAN"))[::-1]
+        clipped = clipped.withColumn("_match", fr.longest_exact(F.col("bases"), [element, other], floor=8))
         out["element_templates"] = templates(F.col("_match") >= 15)
     return clipped.groupBy(*keys).agg(*[c.alias(n) for n, c in out.items()])
 

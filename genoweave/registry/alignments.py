@@ -234,11 +234,13 @@ def g17(v):
     return v("v_sam").select("seq").distinct().select("seq", fr.entropy(F.col("seq")).alias("bits"))
 
 
-@query("G18_longest_exact", """select doc_id, coalesce(max(case when contains('ACGTACGTTAGCCATGCAATCGGATTACAGGCTTACGATC', substr(q,cast(i as int),cast(w as int))) then w end),0) longest from (select doc_id, q, w, unnest(range(1, length(q)-w+2)) i from (select doc_id, substr(seq,1,60) q, unnest(range(4, least(length(substr(seq,1,60)),40)+1)) w from v_reads where length(seq)>=10)) group by doc_id""")
+ELEMENT = "ACGTACGTTAGCCATGCAATCGGATTACAGGCTTACGATC"
+
+
+@query("G18_longest_exact", f"""select doc_id, coalesce(max(case when contains('{ELEMENT}', substr(q,cast(i as int),cast(w as int))) then w end),0) longest from (select doc_id, q, w, unnest(range(1, length(q)-w+2)) i from (select doc_id, seq q, unnest(range(4, least(length(seq),40)+1)) w from v_reads where length(seq)>=10)) group by doc_id""")
 def g18(v):
     r = v("v_reads").filter("length(seq) >= 10")
-    # The probe is the first 60 called bases of each document: a clip-sized query.
-    return r.select("doc_id", fr.longest_exact(F.substring("seq", 1, 60), F.lit("ACGTACGTTAGCCATGCAATCGGATTACAGGCTTACGATC"), floor=4).cast("long").alias("longest"))
+    return r.select("doc_id", fr.longest_exact(F.col("seq"), [ELEMENT], floor=4).cast("long").alias("longest"))
 
 
 @query("G19_mean_quality", "select q qual, round_even(list_sum(list_transform(range(1,51), lambda i: ascii(substr(q,cast(i as int),1))-33))/50.0e0,2) mean_bq from (select distinct qual q from v_sam)")

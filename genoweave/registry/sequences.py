@@ -74,17 +74,18 @@ def k4(v):
     return kmers.unitigs(cut_lineage(kmers.template_counts(doc_kmers(v))), minimum_length=40)
 
 
-PROBES = f"(select distinct {canon('substr(seq,1,31)')} canonical from {DOCS} where length(seq)>=31)"
+# Probes tile every document: 31 bases at every 25th with 50 on either side.
+PROBES = f"(select distinct {canon('substr(seq,cast(o+51 as int),31)')} canonical from (select *, unnest(range(0,length(seq)-131+1,25)) o from {DOCS} where length(seq)>=131))"
 
 
-def first_probes(v):
-    return v("v_reads").filter("length(seq) >= 31").select(F.substring("seq", 1, 31).alias("sequence"), fs.canonical(F.substring("seq", 1, 31)).alias("canonical"))
+def probes(v):
+    return kmers.tile_probes(chunks(v), 31, flank=50)
 
 
 @query("K5_reference_counts", f"""with h as (select p.canonical, contig, pos from {PROBES} p join (select contig, pos, {canon('kmer')} canonical from {kmer_rows(31)}) k on k.canonical=p.canonical), r as (select *, row_number() over (partition by canonical order by contig, pos) i from h)
  select canonical, count(*) occurrences, string_agg(contig||':'||cast(pos as varchar), ',' order by contig, pos) filter (where i<=10) first_positions from r group by canonical""")
 def k5(v):
-    return kmers.reference_counts(first_probes(v), chunks(v), 31)
+    return kmers.reference_counts(probes(v), chunks(v), 31)
 
 
 @query("K6_tile_probes", f"""select contig, start, canonical, round_even(length(regexp_replace(s,'[^GC]','','g'))/31.0e0,4) gc, round_even(length(regexp_replace(w,'[^GC]','','g'))/131.0e0,4) window_gc from (
@@ -102,7 +103,7 @@ def k6b(v):
 @query("K7_probe_templates", f"""select p.canonical, count(*) templates_mapq0, count(*) filter (where doc_id%61>=20) templates_mapq20, count(*) filter (where doc_id%61>=60) templates_mapq60 from {PROBES} p join (select distinct doc_id, {canon('kmer')} canonical from {kmer_rows(31)}) k on k.canonical=p.canonical group by 1""")
 def k7(v):
     r = v("v_reads").select(F.col("doc_id").alias("template"), "seq", (F.col("doc_id") % 61).alias("mapq"))
-    return kmers.probe_templates(r, first_probes(v), 31, quality=None)
+    return kmers.probe_templates(r, probes(v), 31, quality=None)
 
 
 NEEDLE = "TTGCAAGCT"
@@ -115,17 +116,28 @@ def k8(v):
     return hit.groupBy(F.col("match_strand").alias("strand")).agg(F.count("*").alias("n"), F.count_distinct("qname").alias("templates"))
 
 
-@query("K9_exact_flank_hits", f"""select doc_id needle_id, strand, count(*) hits, sum(pos) pos_sum from (select n.doc_id, strand, k.pos from (select doc_id, '+' strand, substr(seq,1,12) w from {DOCS} where length(seq)>=12 union all select doc_id, '-', {RC.format('substr(seq,1,12)')} from {DOCS} where length(seq)>=12) n
- join {kmer_rows(12)} k on k.kmer=n.w) group by 1,2""")
+# Needles of 12 to 200 bases at every 40th base of every document; a document's last ones are cut short.
+NEEDLES = f"(select doc_id*100000+o needle_id, w from (select doc_id, o, substr(seq,cast(o+1 as int),cast(12+(doc_id*31+o)%189 as int)) w from (select *, unnest(range(0,length(seq)-11,40)) o from {DOCS} where length(seq)>=12)))"
+
+
+@query("K9_exact_flank_hits", f"""select needle_id, strand, count(*) hits, sum(pos) pos_sum from (select n.needle_id, strand, k.pos from (select needle_id, '+' strand, w from {NEEDLES} union all select needle_id, '-', {RC.format('w')} from {NEEDLES}) n
+ join (select seq, i pos, substr(seq,cast(i as int),12) kmer from (select *, unnest(range(1,length(seq)-10)) i from {DOCS} where length(seq)>=12)) k on k.kmer=substr(n.w,1,12) and substr(k.seq,cast(k.pos as int),length(n.w))=n.w) group by 1,2""")
 def k9(v):
-    needles = v("v_reads").filter("length(seq) >= 12").select(F.col("doc_id").alias("needle_id"), F.substring("seq", 1, 12).alias("needle"))
-    return kmers.exact_hits(needles, chunks(v), 12).groupBy("needle_id", "strand").agg(F.count("*").alias("hits"), F.sum("pos").alias("pos_sum"))
+    r = v("v_reads").filter("length(seq) >= 12").select("doc_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 12, F.lit(40))).alias("o"))
+    width = (F.lit(12) + (F.col("doc_id") * 31 + F.col("o")) % 189).cast("int")
+    needles = r.select((F.col("doc_id") * 100000 + F.col("o")).alias("needle_id"), F.substring("seq", F.col("o") + 1, width).alias("needle"))
+    return kmers.exact_hits(needles, chunks(v)).groupBy("needle_id", "strand").agg(F.count("*").alias("hits"), F.sum("pos").alias("pos_sum"))
+
+
+# Boundaries at every 60th base of every document, a deletion of three bases at each.
+BOUNDS = f"(select doc_id*100000+o id, substr(seq,cast(o+1 as int),240) l, substr(seq,cast(o+4 as int),240) r from (select *, unnest(range(0,length(seq)-242,60)) o from {DOCS} where length(seq)>=243))"
 
 
-@query("K10_breakpoint_shifts", f"""select doc_id id, min(d) min_shift, max(d) max_shift, count(*) shifts from (select doc_id, seq, unnest(range(-20,21)) d from {DOCS} where length(seq)>=242)
- where substr(seq,1,cast(120+d as int))||substr(substr(seq,3,240),cast(121+d as int)) = substr(seq,1,120)||substr(substr(seq,3,240),121) group by 1""")
+@query("K10_breakpoint_shifts", f"""select id, min(d) min_shift, max(d) max_shift, count(*) shifts from (select *, unnest(range(-20,21)) d from {BOUNDS})
+ where substr(l,1,cast(120+d as int))||substr(r,cast(121+d as int)) = substr(l,1,120)||substr(r,121) group by 1""")
 def k10(v):
-    w = v("v_reads").filter("length(seq) >= 242").select(F.col("doc_id").alias("id"), F.substring("seq", 1, 240).alias("left_text"), F.substring("seq", 3, 240).alias("right_text"))
+    r = v("v_reads").filter("length(seq) >= 243").select("doc_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 243, F.lit(60))).alias("o"))
+    w = r.select((F.col("doc_id") * 100000 + F.col("o")).alias("id"), F.substring("seq", F.col("o") + 1, F.lit(240)).alias("left_text"), F.substring("seq", F.col("o") + 4, F.lit(240)).alias("right_text"))
     out = kmers.breakpoint_shifts(w, reach=20)
     return out.select("id", F.col("min_shift").cast("long").alias("min_shift"), F.col("max_shift").cast("long").alias("max_shift"), "shifts")
 

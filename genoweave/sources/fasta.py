@@ -8,9 +8,11 @@ at chunk borders and joined to chunks by one shuffle.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,10 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch()
 
 
+# executors need no installed copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def pieces(spark: SparkSession, path: str) -> DataFrame:
     """(contig, at, bases): stretches of every record with their offset in it."""
     text = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", "value")

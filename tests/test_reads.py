@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from genoweave.functions import sequence as fs
-from genoweave.functions.perread import observed_allele
+from genoweave.functions import reads as fr
+from genoweave.functions.perread import SuffixAutomaton, observed_allele
 from genoweave.operators import kmers, mtdna, phase, reads
 from genoweave.sources import text
 from genoweave.streaming import ledger, resumable
@@ -145,3 +146,67 @@ def test_catalog_resumes_and_guards_identity(spark, tmp_path):
     assert [r["model"] for r in resumable.catalog_failures(spark, str(out), geno).collect()] == ["PGS000002"]
     with pytest.raises(ValueError, match="other inputs"):
         resumable.run_catalog(spark, str(src), str(out), "run-2")
+
+
+def test_longest_shared_substring_is_that_of_brute_force(spark):
+    r = random.Random(9)
+    text_of = lambda n, symbols="ACG": "".join(r.choice(symbols) for _ in range(n))
+    target = text_of(120)
+    texts = ["", "T", target[10:90], text_of(400), "x" + target[5:20].lower() + "x", *[text_of(60, "ACGT") for _ in range(20)]]
+
+    def brute(q, floor, ceiling):
+        best = max((w for w in range(1, min(len(q), 120, ceiling) + 1) if any(q.upper()[i : i + w] in target for i in range(len(q) - w + 1))), default=0)
+        return best if best >= floor else 0
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    got = {x["i"]: x["n"] for x in df.select("i", fr.longest_exact(F.col("t"), [target], 4, 40).alias("n")).collect()}
+    assert got == {**{i: brute(t, 4, 40) for i, t in enumerate(texts)}, len(texts): None}
+
+
+def test_longest_shared_substring_is_linear():
+    import time
+
+    r = random.Random(2)
+    target = "".join(r.choice("ACGT") for _ in range(300))
+    held = SuffixAutomaton(target * 3 + "A" * 300)
+
+    def took(n):
+        q = "A" * (n // 2) + target * (n // 600)
+        start = time.perf_counter()
+        held.longest(q)
+        return time.perf_counter() - start
+
+    took(1000)
+    assert min(took(100_000) for _ in range(3)) < 400 * max(min(took(1000) for _ in range(5)), 1e-4)
+
+
+def test_breakpoint_shifts_are_those_of_brute_force(spark):
+    r = random.Random(6)
+    rows = []
+    for i in range(60):
+        unit = "".join(r.choice("AC") for _ in range(r.randint(1, 4)))
+        s = "".join(r.choice("ACGT") for _ in range(140)) + unit * r.randint(1, 40) + "".join(r.choice("ACGT") for _ in range(300))
+        at, size = r.randint(110, 150), len(unit) * r.randint(1, 6)
+        rows.append((i, s[at - 110 : at + 110], s[at + size - 110 : at + size + 110]))
+    rows.append((60, "A" * 220, "A" * 220))
+
+    def brute(a, b):
+        return [d for d in range(-10, 11) if a[: 110 + d] + b[110 + d :] == a[:110] + b[110:]]
+
+    got = {x["id"]: (x["min_shift"], x["max_shift"], x["shifts"]) for x in kmers.breakpoint_shifts(spark.createDataFrame(rows, "id int, left_text string, right_text string"), reach=10).collect()}
+    assert got == {i: (min(d), max(d), len(d)) for i, a, b in rows for d in [brute(a, b)]}
+
+
+def test_exact_hits_of_mixed_lengths(spark):
+    r = random.Random(11)
+    unit = "".join(r.choice("ACGT") for _ in range(90))
+    genome = {"c1": "".join(r.choice("ACGT") for _ in range(700)) + unit + "ACAC" * 40 + rc(unit) + "N" * 20, "c2": unit[:50].lower() + "G" * 130}
+    needles = ["ACAC" * 3, "ACAC" * 9, unit, unit[:31], unit[5:45], unit[20:32], genome["c1"][640:840], "G" * 100, rc(unit)[3:70], "T" * 12, genome["c1"][:12], rc(genome["c1"][:60])]
+
+    def brute(needle):
+        return {(c, i + 1, strand) for c, s in genome.items() for strand, n in (("+", needle), ("-", rc(needle))) for i in range(len(s) - len(n) + 1) if s.upper()[i : i + len(n)] == n}
+
+    chunks = text.chunk_sequences(spark.createDataFrame(list(genome.items()), "contig string, seq string"), step=64)
+    got = kmers.exact_hits(spark.createDataFrame(list(enumerate(needles)), "needle_id int, needle string"), chunks).collect()
+    assert len(got) == len({tuple(x) for x in got})
+    assert {tuple(x) for x in got} == {(i, *hit) for i, n in enumerate(needles) for hit in brute(n)}
