@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from genoweave.functions import coords
 
+# Weight types and reasons.
 RAW_RATIO_TYPES = ("or", "hr", "odds ratio", "hazard ratio")
 NON_ADDITIVE = ("haplo", "diplo", "non-add", "interaction")
+COMPLEX_REASON = "unsupported_haplotype_diplotype_or_interaction_model"
 
 
 def model_reason(metadata: DataFrame) -> DataFrame:

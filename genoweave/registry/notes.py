@@ -178,8 +178,12 @@ def t6(v):
 @query("S10_hash_header", "select profile, count(*) n, sum(rnk) rank_sum from v_ranks group by profile")
 def s10(v):
     r = v("v_ranks")
-    lines = r.select(F.concat_ws("\t", "rnk", "model", "profile").alias("value")).unionByName(r.select(F.lit("#RANK\tID\tPROFILE").alias("value")).distinct())
-    p = text.parse_headed(lines, ["RANK", "ID", "PROFILE"])
+    # one file per profile, every second with another column order
+    turned = F.col("profile") > "m"
+    line = F.when(turned, F.concat_ws("\t", "profile", "rnk", "model")).otherwise(F.concat_ws("\t", "rnk", "model", "profile"))
+    head = F.when(turned, "#PROFILE\tRANK\tID").otherwise("RANK\tID\tPROFILE")
+    lines = r.select(F.col("profile").alias("file"), line.alias("value")).unionByName(r.select(F.col("profile").alias("file"), head.alias("value")).distinct())
+    p = text.parse_headed(lines, ["RANK", "ID", "PROFILE"], key="file")
     return p.groupBy(F.col("PROFILE").alias("profile")).agg(F.count("*").alias("n"), F.sum(F.col("RANK").cast("long")).alias("rank_sum"))
 
 

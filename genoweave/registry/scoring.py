@@ -13,38 +13,47 @@ from genoweave.sources import text
 from genoweave.streaming import ledger, resumable
 
 
-def score_lines(v):
-    """Score files of ten models: header lines and rows; weights are whole hundredths."""
+def score_lines(v, marks: bool = False):
+    """Score files of ten models: header lines and rows; weights are whole hundredths.
+
+    Files differ in their column order, and a third have more columns. With ``marks`` model 6 has
+    rows that name it an interaction model.
+    """
     s = v("v_scores")
     name = F.concat(F.lit("PGS"), F.lpad(F.col("model").cast("string"), 6, "0"))
     odd = F.col("position") % 97
     weight = F.when(odd == 0, F.lit("")).when(odd == 1, F.lit("nan")).when(odd == 2, F.lit("abc")).otherwise(F.col("weight100").cast("string"))
-    row = F.concat_ws("\t", F.col("chrom_no").cast("string"), F.col("position").cast("string"), F.lower("effect_allele"), weight)
-    rows = s.select(name.alias("file"), row.alias("value"))
+    interaction = F.when((F.col("model") == 6) & (F.col("position") % 89 < 30), "True").otherwise("") if marks else F.lit("False")
+    cells = {"hm_chr": F.col("chrom_no").cast("string"), "hm_pos": F.col("position").cast("string"), "effect_allele": F.lower("effect_allele"), "effect_weight": weight, "rsID": F.lit("."), "is_interaction": interaction}
+    orders = (["hm_chr", "hm_pos", "effect_allele", "effect_weight"], ["effect_weight", "effect_allele", "hm_pos", "hm_chr"], ["rsID", "hm_pos", "is_interaction", "effect_weight", "hm_chr", "effect_allele"])
+    kind_of = (F.when(F.col("model") == 6, 2).otherwise(F.col("model") % 3)).cast("int")
+    pick = lambda made: F.element_at(F.array(*[made(o) for o in orders]), kind_of + 1)
+    rows = s.select(name.alias("file"), pick(lambda o: F.concat_ws("\t", *[cells[c] for c in o])).alias("value"))
     models = s.select("model", name.alias("file")).distinct()
     build = F.when(F.col("model") == 9, "GRCh37").otherwise("GRCh38")
     kind = F.when(F.col("model") == 8, "OR").when(F.col("model") == 7, "log(OR)").otherwise("beta")
-    heads = models.select("file", F.explode(F.array(F.concat(F.lit("#HmPOS_build="), build), F.concat(F.lit("#weight_type="), kind), F.lit("###meta"), F.lit("hm_chr\thm_pos\teffect_allele\teffect_weight"))).alias("value"))
+    names = pick(lambda o: F.lit("\t".join(o)))
+    heads = models.select("file", F.explode(F.array(F.concat(F.lit("#HmPOS_build="), build), F.concat(F.lit("#weight_type="), kind), F.lit("###meta"), names)).alias("value"))
     return rows.unionByName(heads)
 
 
-@query("S11_score_scan", "select 'PGS'||lpad(cast(model as varchar),6,'0') model, case when model=9 then 'GRCh37' else 'GRCh38' end build, case model when 8 then 'OR' when 7 then 'log(OR)' else 'beta' end kind, count(*) n from v_scores group by 1,2,3")
+@query("S11_score_scan", "select 'PGS'||lpad(cast(model as varchar),6,'0') model, case when model=9 then 'GRCh37' else 'GRCh38' end build, case model when 8 then 'OR' when 7 then 'log(OR)' else 'beta' end kind, count(*) n, sum(position) positions, count(*) filter (where effect_allele='A') a_rows from v_scores group by 1,2,3")
 def s11(v):
     lines = score_lines(v)
     meta = text.score_metadata(lines).select(F.col("file").alias("model"), F.col("metadata")["hmpos_build"].alias("build"), F.col("metadata")["weight_type"].alias("kind"))
-    rows = text.score_rows(lines, resumable.SCORE_COLUMNS).groupBy(F.col("file").alias("model")).agg(F.count("*").alias("n"))
+    rows = text.score_rows(lines).groupBy(F.col("file").alias("model")).agg(F.count("*").alias("n"), F.sum(F.col("hm_pos").cast("long")).alias("positions"), F.count_if(F.col("effect_allele") == "a").alias("a_rows"))
     return meta.join(rows, "model")
 
 
-@query("F21_model_eligibility", "select 'PGS'||lpad(cast(model as varchar),6,'0') model, case when model=9 then 'harmonized_build_missing_or_mismatched' when model=8 then 'unsupported_nonadditive_or_or_only_weight_type' end model_reason from v_scores group by model")
+@query("F21_model_eligibility", f"select 'PGS'||lpad(cast(model as varchar),6,'0') model, case when model=9 then 'harmonized_build_missing_or_mismatched' when model=8 then 'unsupported_nonadditive_or_or_only_weight_type' when bool_or(model=6 and position%89<30) then '{scores.COMPLEX_REASON}' end model_reason from v_scores group by model")
 def f21(v):
-    meta = text.score_metadata(score_lines(v)).select(F.col("file").alias("model"), F.col("metadata")["hmpos_build"].alias("hmpos_build"), F.col("metadata")["weight_type"].alias("weight_type"))
-    return scores.model_reason(meta).select("model", "model_reason")
+    sums, failed = resumable.score_batch(score_lines(v, marks=True), genotypes(v))
+    return sums.select("model", F.lit(None).cast("string").alias("model_reason")).unionByName(failed)
 
 
 @query("F21_row_classes", "select 'PGS'||lpad(cast(model as varchar),6,'0') model, count(*) source_rows, count(*) filter (where position%97 in (0,2)) malformed, count(*) filter (where position%97=1) nonfinite, count(*) filter (where position%97>2 and chrom_no>22) excluded, count(*) filter (where position%97>2 and chrom_no<=22) valid from v_scores group by 1")
 def f21b(v):
-    rows = text.score_rows(score_lines(v), resumable.SCORE_COLUMNS)
+    rows = text.score_rows(score_lines(v))
     return scores.row_counters(scores.row_class(rows), "file").withColumnRenamed("file", "model")
 
 

@@ -160,9 +160,36 @@ def genepred_exons(genepred: DataFrame) -> DataFrame:
     return rows.select("gene", "tx", "chrom", "strand", number.alias("exon_number"), F.col("_e.start").alias("start"), F.col("_e.end").alias("end"), "cds_start", "cds_end")
 
 
-def parse_headed(text: DataFrame, columns: list[str]) -> DataFrame:
-    """TSV lines whose header starts with '#'; the given columns by position, header rows dropped."""
-    return _cells(text.filter(~F.col("value").startswith("#"))).select(*[_cell(i).alias(c) for i, c in enumerate(columns)])
+def by_header(lines: DataFrame, columns: list[str], required: list[str] | None = None, key: str | None = None, whole: str | None = None) -> DataFrame:
+    """Named columns of tab-separated lines, whatever the column order of each file.
+
+    A file's header is its line that names every ``required`` column (all of ``columns`` unless
+    given), wherever Spark reads it; '#' before the first name is left out. Values are taken by the
+    place of their name in it, so a column that a file lacks is NULL. ``key`` names a file; lines of
+    a file without a header follow the header of its ``whole`` (a set of files with one header),
+    and without that have ``header`` NULL. Header lines and '#' lines are no rows.
+    """
+    needed = required or columns
+    names = F.transform(F.split(F.regexp_replace("value", r"^#+|[\r\n]+$", ""), TAB), F.trim)
+    marked = lines.withColumn("_names", names).withColumn("_head", F.size(F.array_except(F.array(*[F.lit(c) for c in needed]), "_names")) == 0)
+    rows = marked.filter(~F.col("_head") & ~F.col("value").startswith("#"))
+    heads = marked.filter("_head")
+    keys = [k for k in (key, whole) if k]
+    if not keys:
+        rows, heads, keys = rows.withColumn("_k", F.lit(1)), heads.withColumn("_k", F.lit(1)), ["_k"]
+    for i, k in enumerate(dict.fromkeys(keys)):
+        one = heads.groupBy(k).agg(F.min("_names").alias(f"_h{i}"), F.count_distinct("_names").alias(f"_n{i}"))
+        # of several headers in one set of files none can stand for the rest
+        rows = rows.join(one.select(k, F.when((F.lit(i) == 0) | (F.col(f"_n{i}") == 1), F.col(f"_h{i}")).alias(f"_h{i}")), k, "left")
+    found = rows.withColumn("header", F.coalesce(*[F.col(f"_h{i}") for i in range(len(dict.fromkeys(keys)))])).withColumn("c", F.split(F.regexp_replace("value", r"[\r\n]+$", ""), TAB))
+    value = lambda name: F.when(F.array_position("header", name) > 0, F.get("c", (F.array_position("header", name) - 1).cast("int")))
+    kept = [k for k in dict.fromkeys(keys) if k != "_k"]
+    return found.select(*kept, *[value(c).alias(c) for c in columns], "header")
+
+
+def parse_headed(text: DataFrame, columns: list[str], key: str | None = None) -> DataFrame:
+    """TSV lines whose header may start with '#': the given columns by name, header lines dropped."""
+    return by_header(text, columns, key=key).select(*([key] if key else []), *columns)
 
 
 def read_headed(spark: SparkSession, path: str) -> DataFrame:
@@ -171,20 +198,27 @@ def read_headed(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.lstrip("#") for c in df.columns])
 
 
+#: Columns that every score file has, and those that mark models which are not additive.
+SCORE_COLUMNS = ["hm_chr", "hm_pos", "effect_allele", "effect_weight"]
+COMPLEX_COLUMNS = ["is_haplotype", "is_diplotype", "is_interaction"]
+
+
 def score_metadata(text: DataFrame, key: str = "file") -> DataFrame:
-    """'#key=value' header lines of score files as one map per file."""
-    head = text.withColumn("_n", F.monotonically_increasing_id()).filter(F.col("value").startswith("#") & (F.instr("value", "=") > 0)).withColumn("_t", F.regexp_replace("value", r"^[#\s]+|\s+$", ""))
+    """'#key=value' header lines of score files as one map per file; of a key's values the last in file order counts.
+
+    Lines in order have a column ``at`` (place in the file), else the order of reading stands in.
+    """
+    order = F.struct("file", "at") if {"file", "at"} <= set(text.columns) else F.monotonically_increasing_id()
+    head = text.withColumn("_n", order).filter(F.col("value").startswith("#") & (F.instr("value", "=") > 0)).withColumn("_t", F.regexp_replace("value", r"^[#\s]+|\s+$", ""))
     pair = F.struct(F.lower(F.trim(F.substring_index("_t", "=", 1))).alias("k"), F.trim(F.expr("substring(_t, instr(_t, '=') + 1)")).alias("v"))
-    # A score header has some twenty distinct keys; the last value of a key counts.
     per = head.select(key, pair.alias("p"), "_n").groupBy(key, F.col("p.k").alias("k")).agg(F.max_by("p.v", "_n").alias("v"))
     return per.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("metadata"))
 
 
-def score_rows(text: DataFrame, columns: list[str], key: str = "file") -> DataFrame:
-    """Score rows of files that share a column order; the header line itself is left out."""
-    body = text.filter(~F.col("value").startswith("#"))
-    rows = _cells(body, [key]).select(key, *[_cell(i).alias(c) for i, c in enumerate(columns)])
-    return rows.filter(F.col(columns[0]) != columns[0])
+def score_rows(text: DataFrame, columns: list[str] | None = None, key: str = "file") -> DataFrame:
+    """Score rows by the header of their file, or of their model where the file has none; ``header`` is NULL without either."""
+    wanted = columns or [*SCORE_COLUMNS, *COMPLEX_COLUMNS]
+    return by_header(text, wanted, required=["effect_allele", "effect_weight"], key="file", whole=key)
 
 
 def parse_pvar(text: DataFrame) -> DataFrame:

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from genoweave.operators import scores
 from genoweave.sources import text as st
 
-SCORE_COLUMNS = ["hm_chr", "hm_pos", "effect_allele", "effect_weight"]
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
@@ -27,20 +24,17 @@ def claim_identity(spark: SparkSession, folder: str, identity: str) -> None:
     spark.createDataFrame([(identity,)], "identity string").write.mode("errorifexists").json(path)
 
 
-def score_batch(text: DataFrame, genotypes: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(model sums, failed models) of score-file lines in columns value and file."""
-    columns = columns or SCORE_COLUMNS
+def score_batch(text: DataFrame, genotypes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(model sums, failed models) of score-file lines in columns value, file and, where known, at."""
     named = text.withColumn("model", F.upper(F.regexp_extract("file", r"(?i)(PGS\d{6,})", 1)))
     meta = st.score_metadata(named, "model").select(
         "model", F.try_element_at("metadata", F.lit("hmpos_build")).alias("hmpos_build"), F.try_element_at("metadata", F.lit("weight_type")).alias("weight_type")
     )
-    every = named.select("model").distinct().join(meta, "model", "left")
-    judged = scores.model_reason(every)
-    rows = st.score_rows(named, columns, "model")
-    complex_models = rows.filter(scores.is_complex_model()).select("model").distinct() if set(columns) >= {"is_haplotype", "is_diplotype", "is_interaction"} else None
-    if complex_models is not None:
-        marked = complex_models.withColumn("_x", F.lit("unsupported_haplotype_diplotype_or_interaction_model"))
-        judged = judged.join(marked, "model", "left").withColumn("model_reason", F.coalesce("model_reason", "_x")).drop("_x")
+    rows = st.score_rows(named, key="model")
+    facts = rows.groupBy("model").agg(F.bool_or(scores.is_complex_model()).alias("is_complex"), F.bool_or(F.col("header").isNull()).alias("headless"))
+    every = named.select("model").distinct().join(meta, "model", "left").join(facts, "model", "left")
+    judged = scores.model_reason(every).withColumn("model_reason", F.when(F.coalesce("headless", F.lit(False)), "score_header_missing").otherwise(F.col("model_reason")))
+    judged = judged.withColumn("model_reason", F.coalesce("model_reason", F.when(F.col("is_complex"), scores.COMPLEX_REASON)))
     good = judged.filter("model_reason is null").select("model")
     classed = scores.row_class(rows.join(good, "model", "left_semi")).withColumn("pos", F.col("hm_pos").try_cast("long")).withColumn("weight_text", F.col("effect_weight"))
     sums = scores.raw_sums(scores.match_scores(classed.filter("row_class = 'valid'"), genotypes))
@@ -59,24 +53,26 @@ def run_catalog(spark: SparkSession, catalog: str, out: str, identity: str, file
     claim_identity(spark, out, identity)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/lines/batch={number}")
+        # place in the file: block, then order in the block
+        placed = batch.withColumn("at", F.struct("block", F.monotonically_increasing_id().alias("n"))).drop("block")
+        placed.write.mode("overwrite").parquet(f"{out}/lines/batch={number}")
 
     stream = (
         spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(catalog)
-        .select("value", F.col("_metadata.file_path").alias("file"))
+        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     )
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
 def catalog_lines(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema("value string, file string").parquet(f"{out}/lines/*")
+    return spark.read.schema("value string, file string, at struct<block: long, n: long>").parquet(f"{out}/lines/*")
 
 
-def catalog_sums(spark: SparkSession, out: str, genotypes: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def catalog_sums(spark: SparkSession, out: str, genotypes: DataFrame) -> DataFrame:
     """Sums and counters of every whole model taken in so far."""
-    return score_batch(catalog_lines(spark, out), genotypes, columns)[0]
+    return score_batch(catalog_lines(spark, out), genotypes)[0]
 
 
-def catalog_failures(spark: SparkSession, out: str, genotypes: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    return score_batch(catalog_lines(spark, out), genotypes, columns)[1]
+def catalog_failures(spark: SparkSession, out: str, genotypes: DataFrame) -> DataFrame:
+    return score_batch(catalog_lines(spark, out), genotypes)[1]

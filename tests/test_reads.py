@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from genoweave.functions import sequence as fs
 from genoweave.functions import reads as fr
 from genoweave.functions.perread import SuffixAutomaton, observed_allele
-from genoweave.operators import kmers, mtdna, phase, reads
+from genoweave.operators import kmers, mtdna, phase, reads, scores
 from genoweave.sources import text
 from genoweave.streaming import ledger, resumable
 
@@ -148,6 +148,24 @@ def test_catalog_resumes_and_guards_identity(spark, tmp_path):
         resumable.run_catalog(spark, str(src), str(out), "run-2")
 
 
+def test_columns_go_by_the_header_of_their_file(spark):
+    files = {
+        "PGS000001.txt": ["#HmPOS_build=GRCh37", "#HmPOS_build=GRCh38", "hm_chr\thm_pos\teffect_allele\teffect_weight", "1\t10\tC\t0.5"],
+        "PGS000002.txt": ["#HmPOS_build=GRCh38", "effect_weight\tx\teffect_allele\thm_pos\thm_chr\tis_diplotype\r", "0.25\t?\tc\t10\t1\tFalse\r", "2\t?"],
+        "PGS000003.txt": ["#HmPOS_build=GRCh38", "1\t10\tC\t0.5"],
+        "PGS000004.txt": ["#HmPOS_build=GRCh38", "hm_pos\teffect_allele\thm_chr\teffect_weight\tis_interaction", "10\tC\t1\t1\t0", "11\tC\t1\t1\tyes"],
+        "PGS000005/part-0": ["#HmPOS_build=GRCh38", "effect_allele\thm_pos\thm_chr\teffect_weight"],
+        "PGS000005/part-1": ["C\t10\t1\t4"],
+    }
+    lines = [(f, v, i) for f, vs in files.items() for i, v in enumerate(vs)]
+    geno = spark.createDataFrame([("1", 10, ["A", "C"], {"A": 1, "C": 1})], "chrom string, pos long, alleles array<string>, counts map<string,int>")
+    sums, failed = resumable.score_batch(spark.createDataFrame(lines, "file string, value string, at int").repartition(4), geno)
+    assert {r["model"]: (r["source_rows"], r["malformed"], r["raw_sum"]) for r in sums.collect()} == {"PGS000001": (1, 0, 0.5), "PGS000002": (2, 1, 0.25), "PGS000005": (1, 0, 4.0)}
+    assert {tuple(r) for r in failed.collect()} == {("PGS000003", "score_header_missing"), ("PGS000004", scores.COMPLEX_REASON)}
+    hashed = spark.createDataFrame([("b", "#ID\tRANK"), ("b", "x\t2"), ("a", "1\ty"), ("a", "RANK\tID")], "file string, value string")
+    assert {tuple(r) for r in text.parse_headed(hashed, ["RANK", "ID"], "file").collect()} == {("b", "2", "x"), ("a", "1", "y")}
+
+
 def test_longest_shared_substring_is_that_of_brute_force(spark):
     r = random.Random(9)
     text_of = lambda n, symbols="ACG": "".join(r.choice(symbols) for _ in range(n))
