@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genoweave.session import cut_lineage
+from genoweave.sources.structured import file_listing
+
 
 def allele_counts(df: DataFrame) -> DataFrame:
     """Records and ALT alleles of a frame with ``alts``."""
@@ -73,8 +78,27 @@ def set_relation(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
 
 
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Files whose size or modification time differs between two manifests; empty when stable."""
+    """Files that came, went, or differ in size or modification time between two snapshots; empty when stable.
+
+    Snapshots must be written tables (:func:`snapshot`): two listings that are only planned would
+    both be taken when the difference is computed.
+    """
     a = before.select("path", F.col("bytes").alias("bytes_before"), F.col("modified").alias("modified_before"))
     b = after.select("path", F.col("bytes").alias("bytes_after"), F.col("modified").alias("modified_after"))
     same = F.col("bytes_before").eqNullSafe(F.col("bytes_after")) & F.col("modified_before").eqNullSafe(F.col("modified_after"))
     return a.join(b, "path", "full_outer").filter(~same)
+
+
+def snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """Listing of the files as they are now, written to the shared folder."""
+    return cut_lineage(file_listing(spark, path))
+
+
+def on_stable_inputs(spark: SparkSession, path: str, work: Callable[[], DataFrame]) -> DataFrame:
+    """Result of ``work``, written out; fails if a file under ``path`` changed between its start and end."""
+    before = snapshot(spark, path)
+    done = cut_lineage(work())
+    changed = changed_files(before, snapshot(spark, path)).select("path").limit(3).collect()
+    if changed:
+        raise RuntimeError(f"inputs changed during the work: {', '.join(r['path'] for r in changed)}")
+    return done

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from genoweave.functions import alleles as fa
@@ -10,6 +12,7 @@ from genoweave.functions import genotype as fg
 from genoweave.operators import alleles, integrity, strata
 from genoweave.registry import shared
 from genoweave.registry.core import query
+from genoweave.session import shared_folder
 from genoweave.sources import structured, text
 
 
@@ -399,10 +402,18 @@ def u4(v):
     return a.join(b.select("rows", F.col("digest").alias("d2")), "rows").select("rows", (F.col("digest") == F.col("d2")).alias("same"))
 
 
-@query("U5_stable_inputs", "select cast(0 as bigint) changed")
+@query("U5_stable_inputs", "select n_regionkey region, n_regionkey%2=1 changed from nation group by 1, 2")
 def u5(v):
-    before = structured.file_listing(v.spark, v.folder)
-    return integrity.changed_files(before, structured.file_listing(v.spark, v.folder)).agg(F.count("*").alias("changed"))
+    # One folder of files per region; every second is written anew, with one row less, between the snapshots.
+    path = f"{shared_folder(v.spark)}/genoweave-{uuid.uuid4().hex}"
+    nations = v.table("nation")
+    nations.write.partitionBy("n_regionkey").parquet(path)
+    before = integrity.snapshot(v.spark, path)
+    first = nations.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("n_nationkey"))
+    less = nations.join(first, ["n_regionkey", "n_nationkey"], "left_anti").filter("n_regionkey % 2 = 1").select(*nations.columns)
+    less.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("n_regionkey").parquet(path)
+    moved = integrity.changed_files(before, integrity.snapshot(v.spark, path)).select(F.regexp_extract("path", r"n_regionkey=(\d+)", 1).cast("int").alias("region")).distinct().withColumn("changed", F.lit(True))
+    return nations.select(F.col("n_regionkey").alias("region")).distinct().join(moved, "region", "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
 
 
 @query("U6_set_equality", "select 'left_only' side, count(*) n from v_calls where src_row%3=0")

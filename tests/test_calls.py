@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from genoweave.functions import alleles as fa
 from genoweave.functions import genotype as fg
-from genoweave.operators import alleles, strata
+from genoweave.operators import alleles, integrity, strata
 from genoweave.plans.panels import classify_panel
 from genoweave.sources import structured, text
 
@@ -149,3 +149,24 @@ def test_left_alignment_query_covers_whole_and_short_texts(spark):
                 want[f"doc{d}", at, ref, alt] += 1
     reads = spark.createDataFrame(list(texts.items()), "doc_id long, seq string")
     assert Counter(tuple(r) for r in sequences.g4(lambda _: reads).collect()) == want
+
+
+def test_inputs_that_change_during_the_work_fail_it(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    for name in ("a", "b"):
+        (src / f"{name}.txt").write_text("x\ny\n")
+    lines = lambda: spark.read.text(str(src))
+    assert integrity.on_stable_inputs(spark, str(src), lines).count() == 4
+
+    def late():
+        (src / "b.txt").write_text("x\n")
+        return lines()
+
+    with pytest.raises(RuntimeError, match="b.txt"):
+        integrity.on_stable_inputs(spark, str(src), late)
+    before = integrity.snapshot(spark, str(src))
+    (src / "c.txt").write_text("z")
+    (src / "a.txt").unlink()
+    changed = integrity.changed_files(before, integrity.snapshot(spark, str(src)))
+    assert {r["path"].rsplit("/", 1)[1]: r["bytes_before"] for r in changed.collect()} == {"a.txt": 4, "c.txt": None}
