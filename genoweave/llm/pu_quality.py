@@ -7,9 +7,10 @@ prior is the share of 1 among labelled learning rows where both labels occur, el
 of unlabelled to positive rows above any score of a positives-against-unlabelled model.
 
 Features are counts of the whole text (rates of ``textstats`` and the distribution of its bytes);
-labels, language, source and id are never inputs. Learning sees a bounded sample of documents,
-about ``SAMPLE`` of them chosen by a hash of the id; scoring covers every document in one pass
-without a shuffle.
+labels, language, source and id are never inputs. Learning sees two bounded samples, each chosen by
+a hash: about ``SAMPLE`` of all documents stand for the unlabelled mix, and documents of up to
+about ``LABELS`` labelled ids, however few those are among all, for the positives and the prior.
+Scoring covers every document in one pass without a shuffle.
 
 Defined results: null and empty texts have all-zero features and get a score like any other;
 without a trusted positive the score is 0.5; repeated rows score alike.
@@ -21,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genoweave.llm import textstats
 
 SAMPLE = 30_000
+LABELS = 10_000
 RATES = (("word_chars", "n_words", 0.1), ("n_symbols", "n_chars", 4), ("n_dup_lines", "n_lines", 1), ("n_repeat_words", "n_words", 1), ("n_distinct_words", "n_words", 1), ("n_upper", "n_chars", 4), ("n_digits", "n_chars", 4), ("n_punct", "n_chars", 4))
 LOGS = ("n_words", "n_lines", "longest_word")
 
@@ -102,30 +104,41 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
     return float(np.clip(min(ratios, default=0.5), 0.02, 0.98))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: float | None = None) -> Network | None:
-    """Fit on about ``sample`` of the documents given; (doc_id, quality) rows name positives."""
+def chosen_by(share: float, *columns) -> Column:
+    """A share of all rows by a hash; the bound lies on the whole range, so small shares keep their meaning."""
+    return F.xxhash64(*columns) <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: float | None = None, labelled: int = LABELS) -> Network | None:
+    """Fit on about ``sample`` of the documents given and those of about ``labelled`` labelled ids; (doc_id, quality) rows name positives."""
     total = docs.count()
     if total == 0:
         return None
-    rate = min(1.0, sample / total)
-    chosen = docs.filter("doc_id is not null").filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(rate * 1_000_000) + (rate >= 1.0))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = list(textstats.over_pieces(b.column(1), features))
             if parts:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in np.vstack(parts)], pa.binary())], names=["doc_id", "x"])
-
-    marks = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = chosen.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x binary").join(marks, "doc_id", "left").limit(2 * sample).toPandas().sort_values(["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in np.vstack(parts)], pa.binary()), b.column(2), b.column(3)], names=["doc_id", "x", "quality", "mixed"])
+
+    marks = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    marks = marks.filter(chosen_by(labelled / max(1, marks.count()), "doc_id", F.lit("label")))
+    mixed = chosen_by(sample / total, "doc_id", F.lit("sample"))
+    # marks are about ``labelled`` rows whatever the input
+    read = docs.filter("doc_id is not null").select("doc_id", "text").join(F.broadcast(marks), "doc_id", "left").select("doc_id", "text", "quality", mixed.alias("mixed"))
+    found = read.filter("mixed or quality is not null").mapInArrow(run, f"doc_id {kind}, x binary, quality int, mixed boolean")
+    # repeated ids may add rows: the first by a hash then, alike in every run
+    rows = found.orderBy(F.xxhash64("doc_id", "x"), "doc_id", "x").limit(2 * (sample + labelled)).toPandas().sort_values(["doc_id", "x"])
     if rows.empty or not (rows["quality"] == 1).any():
         return None
     x = np.stack([np.frombuffer(b, np.float32) for b in rows["x"]])
-    good, bad = (rows["quality"] == 1).to_numpy(), (rows["quality"] == 0).to_numpy()
+    good, bad, mix = (rows["quality"] == 1).to_numpy(), (rows["quality"] == 0).to_numpy(), rows["mixed"].to_numpy(bool)
+    if not mix.any():
+        mix = np.ones(len(x), bool)
     if prior is None:
-        prior = float(np.clip(good.sum() / (good.sum() + bad.sum()), 0.02, 0.98)) if bad.any() else estimate_prior(x[good], x)
-    return Network(x.shape[1]).fit(x[good], x, prior)
+        prior = float(np.clip(good.sum() / (good.sum() + bad.sum()), 0.02, 0.98)) if bad.any() else estimate_prior(x[good], x[mix])
+    return Network(x.shape[1]).fit(x[good], x[mix], prior)
 
 
 def score(docs: DataFrame, network: Network | None) -> DataFrame:

@@ -209,3 +209,22 @@ def test_language_edges(spark):
     nobody = byte_gru.identify(spark.createDataFrame([(9, "abc", None, None, None, None)], schema)).collect()
     assert (nobody[0]["lang_pred"], nobody[0]["score"]) == ("und", 0.0)
     assert byte_gru.identify(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_few_labels_among_many_documents_are_all_used(spark):
+    from genoweave.llm import pu_quality
+
+    r = np.random.default_rng(3)
+    words = [f"word{i}" for i in range(400)]
+    text_of = lambda good: " ".join(r.choice(words, 60)) + "." if good else "".join(r.choice(list("#*$|<>0123456789 "), 200))
+    rows = [(i, text_of(i % 2 == 0)) for i in range(3000)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(40)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pu_quality.score(docs, pu_quality.train(docs, labels, sample=300)).collect()
+    assert np.mean([(x["score"] >= 0.5) == (x["doc_id"] % 2 == 0) for x in got]) > 0.95
+    again = pu_quality.score(docs.repartition(5), pu_quality.train(docs.repartition(7), labels, sample=300)).collect()
+    other = {x["doc_id"]: x["score"] for x in again}
+    assert all(abs(x["score"] - other[x["doc_id"]]) < 1e-5 for x in got)
+    only_good = labels.filter("quality = 1")
+    network = pu_quality.train(docs, only_good, sample=300)
+    assert np.mean([(x["score"] >= 0.5) == (x["doc_id"] % 2 == 0) for x in pu_quality.score(docs, network).collect()]) > 0.8
