@@ -139,7 +139,7 @@ def test_suffix_array_and_prefixes():
 
 def same(df, sql, folder, **views):
     con = duckdb.connect()
-    for name in ("pages", "documents"):
+    for name in ("pages", "documents", "embeddings"):
         if name in views:
             con.register(name, views[name])
         else:
