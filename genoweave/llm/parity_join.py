@@ -10,8 +10,10 @@ Parts are hash-joined, candidates pass a Hamming bound on bit sketches, and the
 Whole sets that are equal are one class from the start, so copies cost nothing further. A part
 shared by more than ``SMALL`` classes is hot: it gives a star, and a class whose hot parts are
 fewer than the agreements it is sure of is complete through its other parts. Only classes with
-more hot parts (large groups of near copies, short texts around a common passage) meet again: they
-share one of their rarest shingles, and only members of components still apart are paired there.
+more hot parts (large groups of near copies, short texts around a common passage) meet again at
+their rarest shingles, of which similar sets share one: first a few neighbours of every shingle are
+compared and their components joined, then members still apart, in cells of bounded size that give
+out only pairs whose sizes, places and bit sketches allow the similarity.
 
 Parts travel as packed arrays per receiving group. Nothing is dropped or capped.
 
@@ -35,6 +37,9 @@ from genoweave.session import cut_lineage
 
 SHINGLE = 5
 SMALL = 12
+REACH = 2
+BLOCK = 2_000
+WIDTH = 256
 LARGEST = 1 << 34
 
 
@@ -265,25 +270,67 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], names=["a", "b"])
 
 
-def apart_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of a shingle's members that are of different components and allowed by size and place.
+class Members:
+    """Members of one shingle in one task: class, component, n, rest and sketch.
 
-    What two sets share from their first common shingle on is no more than the shorter rest, so a
-    pair whose rests are too short has met at an earlier shingle or is not similar.
+    Two members may be similar if their components differ, sizes and bit sketches allow it, and so
+    do their places: what two sets share from their first common shingle on is no more than the
+    shorter rest, so a pair whose rests are too short has met at an earlier shingle or is not
+    similar.
     """
-    node, comp, n, rank = (table[c].to_numpy() for c in ("class", "component", "n", "rank"))
-    order = np.argsort(n, kind="stable")
-    node, comp, n, rest = node[order], comp[order], n[order], (n - rank + 1)[order]
-    a, b = [], []
-    if len(np.unique(comp)) > 1:
-        to = np.searchsorted(n, n * 4 // 3, side="right")
-        for i in range(len(n) - 1):
-            x = slice(i + 1, to[i])
-            other = np.flatnonzero((comp[x] != comp[i]) & (7 * np.minimum(rest[x], rest[i]) >= 3 * (n[x] + n[i]))) + i + 1
-            a.append(np.full(len(other), node[i]))
-            b.append(node[other])
-    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    def __init__(self, table: pa.Table):
+        self.node, self.comp, self.n, rank = (table[c].to_numpy() for c in ("class", "component", "n", "rank"))
+        self.rest = self.n - rank + 1
+        sketches = table["sketch"].to_pylist()
+        self.length = np.array([len(x) for x in sketches], dtype=np.int64)
+        self.full = np.zeros((len(sketches), int(self.length.max(initial=0))), np.uint8)
+        for row, x in zip(self.full, sketches, strict=True):
+            row[: len(x)] = np.frombuffer(x, np.uint8)
+        self.half = np.zeros_like(self.full)
+        for size in np.unique(self.length):  # sizes allowed to meet are of one length or the next
+            at = np.flatnonzero(self.length == size)
+            self.half[at, : size // 2] = self.full[at, : size // 2] ^ self.full[at, size // 2 : size]
+
+    def allowed(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs of rows (i, j) that may be similar."""
+        n, rest = self.n, self.rest
+        keep = (self.comp[i] != self.comp[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & (7 * np.minimum(rest[i], rest[j]) >= 3 * (n[i] + n[j]))
+        i, j = i[keep], j[keep]
+        x = np.where((self.length[i] > self.length[j])[:, None], self.half[i], self.full[i])
+        y = np.where((self.length[j] > self.length[i])[:, None], self.half[j], self.full[j])
+        keep = 7 * BITS_SET[x ^ y].sum(axis=1, dtype=np.int64) <= n[i] + n[j]
+        return i[keep], j[keep]
+
+    def table(self, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip((np.zeros(0, np.int64),) * 2, *found, strict=True))
+        a, b = self.node[a], self.node[b]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def beside(table: pa.Table) -> pa.Table:
+    """Allowed pairs of members that stand within ``REACH`` places, in an order of each shingle's own."""
+    m = Members(table)
+    band = np.searchsorted(LOW, np.maximum(m.n, 1), side="right")
+    order = np.lexsort((mix(m.node.view(np.uint64) ^ mix(table["shingle"].to_numpy().view(np.uint64))), band))
+    return m.table([m.allowed(order[:-step], order[step:]) for step in range(1, min(REACH, len(order) - 1) + 1)])
+
+
+def cell(table: pa.Table) -> pa.Table:
+    """Allowed pairs of a searching member (outside the shingle's main component) and any other."""
+    m = Members(table)
+    searching, outside = (table[c].to_numpy(zero_copy_only=False) for c in ("searching", "outside"))
+    ask = np.flatnonzero(searching)
+    other = np.flatnonzero(~searching)
+    other = other[np.argsort(m.n[other], kind="stable")]
+    lo = np.searchsorted(m.n[other], -(-3 * m.n[ask] // 4), side="left")
+    hi = np.searchsorted(m.n[other], m.n[ask] * 4 // 3, side="right")
+    found = []
+    for x, f, t in zip(ask, lo, hi, strict=True):
+        j = other[f:t]
+        j = j[~outside[j] | (m.node[j] > m.node[x])]  # two members outside meet once
+        found.append(m.allowed(np.full(len(j), x), j))
+    return m.table(found)
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -306,8 +353,7 @@ def link(docs: DataFrame) -> DataFrame:
     hashed = cut_lineage(texts.mapInArrow(sets, "class long, hashes binary").dropDuplicates(["class"]))
     links = verified(known, hashed, likely)
     if needy.limit(1).count():
-        again = allowed(known, by_rarest(known, hashed, needy, links).distinct())
-        links = links.unionByName(verified(known, hashed, again))
+        links = completed(known, hashed, needy, links)
     found = components(links)
     names = known.select("class", F.col("rep").alias("node")).join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
     # rows that share an id are one document, so a class is known by any of its ids through its rep
@@ -316,23 +362,63 @@ def link(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), linked.alias("component_id"))
 
 
-def by_rarest(known: DataFrame, hashed: DataFrame, needy: DataFrame, links: DataFrame) -> DataFrame:
-    """Candidates (a, b) among ``needy`` classes that are not yet in one component.
+def completed(known: DataFrame, hashed: DataFrame, needy: DataFrame, links: DataFrame) -> DataFrame:
+    """``links`` with those between ``needy`` classes that connect what is not yet in one component.
+
+    First a few neighbours of every shingle are compared, which connects most of a large group of
+    near copies by rows in proportion to its members. What is still apart after that is searched
+    in full: members outside a shingle's main component against all, in cells of bounded size.
+    """
+    rare = rarest(known, hashed, needy)
+    near_by = together(rare, links).withColumn("part", F.pmod(F.xxhash64("class", "shingle"), F.ceil(F.col("members") / BLOCK)))
+    links = links.unionByName(verified(known, hashed, allowed(known, near_by.groupBy("shingle", "part").applyInArrow(beside, "a long, b long").distinct())))
+    return links.unionByName(verified(known, hashed, allowed(known, cells(together(rare, links)).distinct())))
+
+
+def rarest(known: DataFrame, hashed: DataFrame, needy: DataFrame) -> DataFrame:
+    """(shingle, class, n, rank, rep, sketch): the rarest shingles of ``needy`` classes.
 
     Similar sets of n elements share one of their n - ceil(3n/4) + 1 rarest, by any one order. With
     the rarest first, what many texts hold is only met by sets that hold little else.
     """
-    listed = hashed.join(needy, "class").mapInArrow(one_by_one, "class long, n long, shingle long")
-    listed = cut_lineage(listed)
+    listed = cut_lineage(hashed.join(needy, "class").mapInArrow(one_by_one, "class long, n long, shingle long"))
     often = listed.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
     # a shingle of one set cannot be shared, so it only takes its place among the rarest
     ranked = listed.join(often, "shingle", "left").withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy(F.coalesce("often", F.lit(1)), "shingle")))
     first = ranked.filter(F.col("often").isNotNull() & (F.col("rank") <= F.col("n") - F.ceil(3 * F.col("n") / 4) + 1)).select("shingle", "class", "n", F.col("rank").cast("long").alias("rank"))
+    folded = known.join(needy, "class").select("class", "rep", "sketch").mapInArrow(shorter, f"class long, rep {known.schema['rep'].dataType.simpleString()}, sketch binary")
+    return cut_lineage(first.join(folded, "class"))
+
+
+def together(rare: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of the shingles that more than one component holds.
+
+    Adds component, outside (not of the component with most members), and per shingle the numbers
+    of members and of members outside.
+    """
     labels = components(links).withColumnRenamed("node", "rep")
-    members = first.join(known.select("class", "rep"), "class").join(labels, "rep", "left").select("shingle", "class", "n", "rank", F.coalesce("component", "rep").alias("component"))
-    members = cut_lineage(members)
-    several = members.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle")
-    return members.join(several, "shingle").groupBy("shingle").applyInArrow(apart_pairs, "a long, b long")
+    named = cut_lineage(rare.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep")).drop("rep"))
+    per = named.groupBy("shingle", "component").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("main"), F.sum("k").alias("members"))
+    per = per.filter("members > main.k").select("shingle", F.col("main.component").alias("main"), "members", (F.col("members") - F.col("main.k")).alias("strangers"))
+    return named.join(per, "shingle").withColumn("outside", F.col("component") != F.col("main")).drop("main")
+
+
+def cells(members: DataFrame) -> DataFrame:
+    """Allowed pairs (a, b) across components of every shingle, in cells of about ``BLOCK`` by ``BLOCK`` members."""
+    searched, searching = F.ceil(F.col("members") / BLOCK), F.ceil(F.col("strangers") / BLOCK)
+    place = F.xxhash64("class", "shingle")
+    copies = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), k - 1))
+    ask = members.filter("outside").withColumn("i", F.pmod(place, searching)).withColumn("j", copies(searched)).withColumn("searching", F.lit(True))
+    other = members.withColumn("j", F.pmod(place, searched)).withColumn("i", copies(searching)).withColumn("searching", F.lit(False))
+    columns = ["shingle", "i", "j", "class", "component", "n", "rank", "sketch", "outside", "searching"]
+    return ask.select(columns).union(other.select(columns)).groupBy("shingle", "i", "j").applyInArrow(cell, "a long, b long")
+
+
+def shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, rep, sketch) with the sketch folded to ``WIDTH`` bytes at most."""
+    for b in batches:
+        folded = [fold(np.frombuffer(x, np.uint8), WIDTH).tobytes() for x in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(folded, pa.binary())], names=["class", "rep", "sketch"])
 
 
 def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,6 +62,31 @@ def test_crowded_passage_still_finds_every_link(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i in range(60)}
 
 
+@pytest.mark.parametrize("block", [7, 2000])
+def test_crowd_on_both_sides_of_the_threshold(spark, monkeypatch, block):
+    base = prose(60, 130).split(" ")
+    texts = []
+    for i in range(70):  # a few places of a common text differ, so pairs fall on either side of 3/4
+        r = np.random.default_rng(500 + i)
+        words = list(base)
+        for at in r.integers(0, len(words), 2 + i % 4):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split(" ") for t in texts)]
+    part = list(range(len(sets)))
+    linked = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in linked:
+            part[a] = part[b] = min(part[a], part[b])
+    assert 1 < len(set(part)) < len(sets)
+    monkeypatch.setattr(parity_join, "BLOCK", block)
+    searched = []
+    monkeypatch.setattr(parity_join, "cells", lambda m, real=parity_join.cells: searched.append(m.count()) or real(m))
+    got = parity_join.link(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(part))
+    assert searched[0] > 0
+
+
 def test_parts_agree_for_similar_sets():
     r = np.random.default_rng(3)
     for n in (1, 2, 5, 17, 60, 300):
