@@ -378,7 +378,3 @@ def template_depth(prepared: DataFrame, quality: int = 20, width: int = 1 << 16)
 def first_pairs(reads: DataFrame, n: int) -> DataFrame:
     """The first n pair names in name order: the bounded sample a classifier is given."""
     return unmapped_pairs(reads).filter("records = 2").select("qname").orderBy("qname").limit(n)
-
-
-def input_order(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
