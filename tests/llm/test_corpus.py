@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -208,6 +209,51 @@ def test_main_text():
     assert templates.main_text("plain &eacute; text") == "plain é text"
 
 
+def test_article_parts_named_like_templates_stay():
+    words = " ".join(f"word{i}" for i in range(60))
+    for part, text in (
+        ("<h2 class='section-header'>Head</h2>", "Head"),
+        ("<h1 class='page-header'>Head</h1>", "Head"),
+        ("<div class='article-header'><h1>Head</h1><p>By line</p></div>", "Head"),
+        ("<table><tr class='header'><th>Head</th></tr></table>", "Head"),
+        ("<section id='search'>Part</section>", "Part"),
+        ("<section id='form'>Part</section>", "Part"),
+        ("<h2 id='comments'>Head</h2>", "Head"),
+        ("<p class='related-list'>Part</p>", "Part"),
+        ("<p>We see <math><mi>x</mi> = 4</math> here</p>", "We see x = 4 here"),
+    ):
+        assert templates.main_text(f"<body><article><p>{words}</p>{part}</article></body>") == f"{words}\n\n{text}", part
+    for part in ("<div id='comments'>Reply</div>", "<p class='advert'>Buy</p>", "<h2 hidden>Head</h2>", "<div class='social-share'>Share</div>"):
+        assert templates.main_text(f"<body><article><p>{words}</p>{part}</article></body>") == words, part
+
+
+def test_odd_pages_take_linear_time():
+    def seconds(source):
+        began = time.process_time()
+        templates.main_text(source)
+        templates.weighed(templates.parse(source))
+        return time.process_time() - began
+
+    for shape in (lambda n: "<a " * n, lambda n: "<a <b>" * n, lambda n: "<div>" * n + "</b>" * n, lambda n: "<b>" * n + "<a>x</a>" * n, lambda n: "<ul>" + "<b>" * n + "<li>x</li>" * n, lambda n: '<a "x>"' * n + "'", lambda n: "<!" * n):
+        assert seconds(shape(16_000)) < 1 + 8 * seconds(shape(4_000))
+    assert seconds("<a " * 333_333) < 2
+    assert templates.main_text("a <b and c") == "a <b and c" and templates.main_text("<p>1 < 2 <b>x</b>") == "1 < 2 x"
+    assert templates.main_text("<table><tr><td>a<tr><td>b</table>") == "a\n\nb"
+
+
+def test_equal_pages_count_once(spark):
+    """Four different pages and fifty copies of one of them are four pages; a fifth one votes the notice out everywhere."""
+    def page(i):
+        return "<body><div><p>Same notice</p></div><article><p>" + " ".join(f"w{i}x{j}" for j in range(30)) + "</p><p>Same notice</p></article></body>"
+
+    rows = [(i, "http://a.net/x", page(i)) for i in range(4)] + [(100 + i, "http://a.net/y", page(0)) for i in range(50)] + [(200, None, None), (201, "http://a.net/", "")]
+    frame = lambda rows: spark.createDataFrame([(*r, "h", [1]) for r in rows], "page_id long, url string, html string, host string, subtrees array<int>")
+    got = [r["text"] for r in templates.extract(frame(rows)).collect()]
+    assert len(got) == len(rows) and sum("Same notice" in t for t in got) == 54 and got.count("") == 2
+    got = [r["text"] for r in templates.extract(frame([*rows, (300, "http://a.net/z", page(9))])).collect()]
+    assert len(got) == len(rows) + 1 and not any("Same notice" in t for t in got) and got.count("") == 2
+
+
 def test_site_templates_go(spark):
     page = lambda i: f"<body><div class='x'>Follow us today</div><div><p>{prose(i, 30)}</p></div></body>"
     pages = [(i, "http://h/p", page(i)) for i in range(8)] + [(9, "http://other/p", page(9)), (10, None, None)]
