@@ -10,28 +10,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoweave.session import cut_lineage
+
+#: Distinct values that one task ranks, about.
+ROWS_PER_TASK = 1_000_000
+
+
+def in_ranges(counted: DataFrame, keys: list[str], value: str, rows_per_task: int) -> DataFrame:
+    """Rows in ranges of the order (keys, value), numbered by ``_bucket`` and written once.
+
+    The number of ranges follows the counted rows, so a range stays as small however large one
+    group grows; a group is cut wherever a range ends.
+    """
+    counted = cut_lineage(counted)
+    partitions = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(partitions, -(-counted.count() // rows_per_task))
+    return cut_lineage(counted.repartitionByRange(parts, *keys, value).withColumn("_bucket", F.spark_partition_id()))
+
 
 def order_statistics(
-    df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], linear: bool = True, buckets: int = 64
+    df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], linear: bool = True, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Exact order statistics per group, also for a group holding most of the data.
 
-    Equal values collapse to (value, n) before the shuffle. An approximate sketch only chooses
-    bucket borders; the rows of the few buckets that hold a wanted rank are then ranked exactly,
-    each bucket in its own task. ``linear`` interpolates between neighbours; otherwise the
-    element at ``floor((n - 1) * fraction)`` is returned.
+    Equal values collapse to (value, n) before the shuffle. Values go to ranges of about
+    ``rows_per_task`` rows; one summary row per group and range says which ranges hold a wanted
+    rank, and only those are ranked, each in its own task. ``linear`` interpolates between
+    neighbours; otherwise the element at ``floor((n - 1) * fraction)`` is returned. Null values
+    take no part; a group without values has no row.
     """
     if not keys:
         one = df.withColumn("_all", F.lit(1))
-        return order_statistics(one, ["_all"], value, fractions, linear, buckets).drop("_all")
+        return order_statistics(one, ["_all"], value, fractions, linear, rows_per_task).drop("_all")
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    cuts = [i / buckets for i in range(1, buckets)]
-    borders = counted.groupBy(*keys).agg(
-        F.percentile_approx(value, cuts, 10000).alias("_cuts"), F.sum("_n").alias("_total")
-    )
-    placed = counted.join(borders, keys).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
-    totals = placed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_in"), F.first("_total").alias("_total"))
-    along = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = in_ranges(counted, keys, value, rows_per_task)
+    group = Window.partitionBy(*keys)
+    along = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_in")).withColumn("_total", F.sum("_in").over(group))
     totals = totals.withColumn("_offset", F.coalesce(F.sum("_in").over(along), F.lit(0)))
 
     wanted = []

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from genoweave.operators import copynumber as cn
 from genoweave.operators import intervals
 from genoweave.operators.intervals import LEVEL_BITS, READ_BITS, Span
-from genoweave.operators.quantiles import order_statistics
+from genoweave.operators.quantiles import in_ranges, order_statistics
 
 
 def spans(spark, n, p, seed):
@@ -66,6 +66,29 @@ def test_order_statistics_of_a_hot_group(spark):
     assert got["one"]["lo"] == 4.0
 
 
+def test_ranges_of_a_hot_group_stay_bounded(spark):
+    """A group of 400,000 distinct values is dealt to as many ranges as its size asks for."""
+    df = spark.range(400_000).select(F.when(F.col("id") % 100 == 0, "cold").otherwise("hot").alias("k"), ((F.col("id") * 7919) % 400_009).cast("double").alias("v"))
+    counted = df.groupBy("k", "v").agg(F.count("*").alias("_n"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for size, ranges in ((20_000, max(20, partitions)), (200_000, max(2, partitions))):
+        sizes = [r["count"] for r in in_ranges(counted, ["k"], "v", size).groupBy("_bucket").count().collect()]
+        assert sum(sizes) == 400_000 and len(sizes) >= ranges * 0.8 and max(sizes) < 2.5 * 400_000 / ranges
+    got = {r["k"]: r for r in order_statistics(df, ["k"], "v", {"low": 0.001, "mid": 0.5, "top": 0.999}, rows_per_task=20_000).collect()}
+    true = {"hot": [], "cold": []}
+    for i in range(400_000):
+        true["hot" if i % 100 else "cold"].append(float(i * 7919 % 400_009))
+    for k, values in true.items():
+        values.sort()
+        for name, fraction in (("low", 0.001), ("mid", 0.5), ("top", 0.999)):
+            place = (len(values) - 1) * fraction
+            low = values[int(place)]
+            high = values[min(int(place) + 1, len(values) - 1)]
+            assert abs(got[k][name] - (low + (high - low) * (place - int(place)))) < 1e-6
+    empty = spark.createDataFrame([("a", None)], "k string, v double")
+    assert order_statistics(empty, ["k"], "v", {"mid": 0.5}).count() == 0
+
+
 def test_nearest_gc_equals_full_sort(spark):
     r = random.Random(6)
     rows = [("s", f"c{r.randrange(4)}", i, r.randrange(12) / 20, float(r.randrange(50))) for i in range(90)]
