@@ -1,7 +1,11 @@
 """Plans and rows that only change when tables grow: shuffled overlap joins, repeated allele keys."""
 
+import duckdb
+import pytest
+
 from genoweave.operators import intervals
 from genoweave.operators.intervals import Span
+from genoweave.registry import load
 
 
 def plan_of(df):
@@ -29,3 +33,32 @@ def test_overlap_join_leaves_out_levels_that_one_side_lacks(spark):
     assert sorted((r["_level"], r["_role"]) for r in right.collect()) == [(0, 0), (1, 1)]
     nothing = genes.filter("g_start < 0")
     assert intervals.overlap_join(points, nothing, point, gene).count() == 0
+
+
+# Orders whose numbers differ by 5,000,000 get equal positions and, by these customers, equal contigs:
+# the calls, core calls and catalogue rows made from them then repeat their allele keys.
+TWINS = (
+    "A3_lineage_recovery",
+)
+
+
+@pytest.fixture(scope="module")
+def repeated_keys(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("repeated")
+    duckdb.sql(
+        f"""copy (select * replace (o_orderkey+k*5000000 as o_orderkey, o_custkey+k%2*22 as o_custkey)
+        from '/root/testdata/sf0.001/orders.parquet', (select range k from range(3))) to '{folder}/orders.parquet' (format parquet)"""
+    )
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", TWINS)
+def test_repeated_allele_keys_count_as_in_the_sql(spark, repeated_keys, name):
+    found, twins = load()
+    got = found[name](spark, repeated_keys)
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{repeated_keys}/orders.parquet'")
+    want = con.sql(twins[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = sorted(map(repr, map(tuple, got.select(*want.columns).collect())))
+    assert rows == sorted(map(repr, want.fetchall())) and rows
