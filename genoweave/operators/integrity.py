@@ -65,15 +65,17 @@ def key_union(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def set_relation(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Sizes of two key sets and of their intersection."""
+    """Sizes of two key sets and of their intersection, and the records behind either set."""
     both = left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
         right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
     )
-    sides = both.groupBy(*keys).agg(F.max("_l").alias("l"), F.max("_r").alias("r"))
+    sides = both.groupBy(*keys).agg(F.max("_l").alias("l"), F.max("_r").alias("r"), F.sum("_l").alias("nl"), F.sum("_r").alias("nr"))
     return sides.agg(
         F.coalesce(F.sum("l"), F.lit(0)).cast("long").alias("left_size"),
         F.coalesce(F.sum("r"), F.lit(0)).cast("long").alias("right_size"),
         F.coalesce(F.sum(F.col("l") * F.col("r")), F.lit(0)).cast("long").alias("shared"),
+        F.coalesce(F.sum("nl"), F.lit(0)).cast("long").alias("left_records"),
+        F.coalesce(F.sum("nr"), F.lit(0)).cast("long").alias("right_records"),
     )
 
 
