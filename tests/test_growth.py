@@ -41,6 +41,7 @@ TWINS = (
     "A3_lineage_recovery",
     "A41_connected_targets",
     "U2_set_relation",
+    "U6_set_equality",
 )
 
 
