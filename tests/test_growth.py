@@ -43,6 +43,7 @@ TWINS = (
     "U2_set_relation",
     "U6_set_equality",
     "J15_panel_evidence",
+    "J4_lookup_by_id",
 )
 
 
