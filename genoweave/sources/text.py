@@ -123,12 +123,6 @@ def parse_depth(text: DataFrame) -> DataFrame:
     return _cells(text).select(_cell(0).alias("chrom"), _cell(1).cast("long").alias("pos"), _cell(2).cast("long").alias("depth"))
 
 
-def dense_depth(depth: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Depth at every base of closed intervals; a base without a row has depth 0."""
-    wanted = intervals.select("chrom", F.explode(F.sequence("start", "end")).alias("pos")).distinct()
-    return wanted.join(depth, ["chrom", "pos"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
-
-
 def parse_regions(text: DataFrame) -> DataFrame:
     c = F.split(F.trim("value"), r"\s+")
     return text.select(c.alias("c")).select(

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from genoweave.operators import intervals
+from genoweave.operators import intervals, reads
 from genoweave.operators.intervals import Span
 from genoweave.registry import load
 
@@ -68,3 +68,10 @@ def test_repeated_allele_keys_count_as_in_the_sql(spark, repeated_keys, name):
     assert sorted(got.columns) == sorted(want.columns)
     rows = sorted(map(repr, map(tuple, got.select(*want.columns).collect())))
     assert rows == sorted(map(repr, want.fetchall())) and rows
+
+
+def test_silent_bases_are_counted_and_not_generated(spark):
+    depth = spark.createDataFrame([("c", 5, 3), ("c", 9, 0), ("c", 3000000000, 4), ("d", 5, 7)], "chrom string, pos long, depth long")
+    wide = spark.createDataFrame([("a", "c", 1, 4000000000), ("b", "c", 6, 9), ("e", "x", 1, 2)], "label string, i_chrom string, i_start long, i_end long")
+    got = {r["label"]: (r["bases"], r["total"], r["silent"]) for r in reads.dense_totals(depth, wide, ["label"]).collect()}
+    assert got == {"a": (4000000000, 7, 3999999998), "b": (4, 0, 4), "e": (2, 0, 2)}
