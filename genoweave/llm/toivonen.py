@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from genoweave.llm.common import BYTE_VALUE, LOWER, Rolling, mix, text_bytes
+from genoweave.llm.common import BYTE_VALUE, LOWER, Rolling, mix, pieces, text_bytes
 from genoweave.session import cut_lineage
 
 LONGEST = 4
@@ -56,8 +56,8 @@ class Runs:
     """Word runs of consecutive pieces: hashes by length and start, and the words joined by one space."""
 
     def __init__(self, raw: np.ndarray, ends_text: np.ndarray, lang_of_byte, seeds: np.ndarray):
-        kind = KIND[raw]
-        inside = kind == 0
+        # no array of more than one byte for a byte of text: a chunk has far fewer words than bytes
+        inside = KIND[raw] == 0
         edge = np.zeros(len(raw) + 1, dtype=bool)
         edge[ends_text] = True
         before = np.ones(len(raw), dtype=bool)
@@ -67,16 +67,21 @@ class Runs:
         starts = np.flatnonzero(inside & (before | edge[:-1]))
         ends = np.flatnonzero(inside & (after | edge[1:])) + 1
         self.n = len(starts)
-        breaks = np.cumsum((kind == 2) | edge[:-1])
-        piece = breaks[starts]
+        breaks = np.flatnonzero((KIND[raw] == 2) | edge[:-1])
+        piece = np.searchsorted(breaks, starts, side="right")
         self.same = piece[1:] == piece[:-1]
         size = ends - starts
-        self.joined = np.full(len(raw[inside]) + self.n, 0x20, dtype=np.uint8)
-        self.joined[np.arange(size.sum()) + np.repeat(np.arange(self.n), size)] = raw[inside]
         self.end = np.cumsum(size + 1) - 1
         self.start = self.end - size
+        self.joined = np.full(int(size.sum()) + self.n, 0x20, dtype=np.uint8)
+        letter = np.ones(len(self.joined), dtype=bool)
+        letter[self.end] = False
+        self.joined[letter] = raw[inside]
         self.lang = lang_of_byte(starts)
-        words = Rolling(BYTE_VALUE[self.joined]).slices(self.start, self.end)
+        words = np.empty(self.n, dtype=np.uint64)
+        for i, j in pieces(np.append(self.start, len(self.joined))):
+            at = self.start[i]
+            words[i:j] = Rolling(BYTE_VALUE[self.joined[at : self.end[j - 1]]]).slices(self.start[i:j] - at, self.end[i:j] - at)
         self.rolling = Rolling(words)
         self.seed = seeds[self.lang]
 
@@ -95,20 +100,35 @@ class Runs:
         a, b = self.start[first], self.end[first + m - 1]
         offsets = np.zeros(len(first) + 1, dtype=np.int64)
         np.cumsum(b - a, out=offsets[1:])
-        data = self.joined[np.repeat(a - offsets[:-1], b - a) + np.arange(offsets[-1])]
+        data = np.empty(offsets[-1], dtype=np.uint8)
+        for i, j in pieces(offsets):
+            data[offsets[i] : offsets[j]] = self.joined[np.repeat(a[i:j] - offsets[i:j], b[i:j] - a[i:j]) + np.arange(offsets[i], offsets[j])]
         return pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
 
 
 def chunk_ends(raw: np.ndarray, offsets: np.ndarray) -> Iterator[int]:
     """Where chunks of about ``CHUNK`` bytes end: always at an end of a piece or text, so a longer piece is a chunk of its own."""
-    cuts = np.union1d(np.flatnonzero(KIND[raw] == 2) + 1, offsets[1:])
     at = 0
     while at < len(raw):
-        i = int(np.searchsorted(cuts, at + CHUNK, side="right")) - 1
-        at = int(cuts[i] if i >= 0 and cuts[i] > at else cuts[i + 1])
+        to = at + CHUNK
+        if to < len(raw):
+            i = int(np.searchsorted(offsets, to, side="right"))
+            inner = np.flatnonzero(KIND[raw[at:to]] == 2)
+            last = max(int(offsets[i - 1]), at + int(inner[-1]) + 1 if len(inner) else 0)
+            to = last if last > at else next_end(raw, to, int(offsets[i]))
+        at = min(to, len(raw))
         yield at
 
 
+def next_end(raw: np.ndarray, at: int, end: int) -> int:
+    """First end of a piece after ``at``, in a text that ends at ``end``."""
+    for a in range(at, end, CHUNK):
+        found = np.flatnonzero(KIND[raw[a : min(a + CHUNK, end)]] == 2)
+        if len(found):
+            return a + int(found[0]) + 1
+    return end
+
+
 def runs_of(texts: pa.Array, langs: pa.Array) -> Iterator[tuple[Runs, list[str]]]:
     """Runs of a batch, chunk by chunk; chunks are cut where a piece or a text ends."""
     raw, offsets = text_bytes(texts)
