@@ -26,11 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genoweave.llm import textstats
+from genoweave.llm.common import text_bytes
 
 SAMPLE = 30_000
 LABELS = 10_000
 RATES = (("word_chars", "n_words", 0.1), ("n_symbols", "n_chars", 4), ("n_dup_lines", "n_lines", 1), ("n_repeat_words", "n_words", 1), ("n_distinct_words", "n_words", 1), ("n_upper", "n_chars", 4), ("n_digits", "n_chars", 4), ("n_punct", "n_chars", 4))
 LOGS = ("n_words", "n_lines", "longest_word")
+WIDTH = len(RATES) + len(LOGS) + 256
+#: Rows that a step over many rows takes at a time.
+BLOCK = 4096
 
 
 def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -43,6 +47,20 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.hstack([np.stack(columns, axis=1), np.sqrt(bytes_ / np.maximum(np.diff(offsets), 1)[:, None])]).astype(np.float32)
 
 
+def blocks(x: np.ndarray) -> Iterator[np.ndarray]:
+    return (x[i : i + BLOCK] for i in range(0, len(x), BLOCK))
+
+
+def stacked(column: pa.ChunkedArray, chosen: np.ndarray) -> np.ndarray:
+    """The chosen entries, packed floats, as rows of one array; a batch of the column at a time."""
+    out, at, done = np.empty((int(chosen.sum()), WIDTH), np.float32), 0, 0
+    for chunk in column.chunks:
+        rows = text_bytes(chunk)[0].view(np.float32).reshape(len(chunk), WIDTH)[chosen[at : at + len(chunk)]]
+        out[done : done + len(rows)] = rows
+        at, done = at + len(chunk), done + len(rows)
+    return out
+
+
 class Network:
     """One hidden layer; trained by minibatches with Adam from a fixed seed."""
 
@@ -56,12 +74,19 @@ class Network:
         return h, h @ self.weights[2] + self.weights[3][0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.forward(x)[1].astype(float), -30, 30)))
+        f = np.concatenate([self.forward(rows)[1] for rows in blocks(x)]) if len(x) else np.zeros(0)
+        return 1 / (1 + np.exp(-np.clip(f.astype(float), -30, 30)))
+
+    def scale_to(self, *parts: np.ndarray) -> None:
+        """Mean and spread of all rows of the parts, without a copy of them."""
+        n = sum(map(len, parts))
+        mean = sum(rows.sum(0, dtype=float) for x in parts for rows in blocks(x)) / n
+        spread = sum(((rows - mean) ** 2).sum(0) for x in parts for rows in blocks(x)) / n
+        self.mean, self.scale = mean.astype(np.float32), (np.sqrt(spread) + 1e-3).astype(np.float32)
 
     def fit(self, p: np.ndarray, u: np.ndarray, prior: float, epochs: int = 30, batch: int = 1000, rate: float = 3e-3, decay: float = 1e-4, seed: int = 11) -> Network:
         """Non-negative PU risk with the logistic loss."""
-        both = np.vstack([p, u])
-        self.mean, self.scale = both.mean(0), both.std(0) + 1e-3
+        self.scale_to(p, u)
         r = np.random.default_rng(seed)
         moments = [[np.zeros_like(w), np.zeros_like(w)] for w in self.weights]
         step = 0
@@ -129,16 +154,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: float
     read = docs.filter("doc_id is not null").select("doc_id", "text").join(F.broadcast(marks), "doc_id", "left").select("doc_id", "text", "quality", mixed.alias("mixed"))
     found = read.filter("mixed or quality is not null").mapInArrow(run, f"doc_id {kind}, x binary, quality int, mixed boolean")
     # repeated ids may add rows: the first by a hash then, alike in every run
-    rows = found.orderBy(F.xxhash64("doc_id", "x"), "doc_id", "x").limit(2 * (sample + labelled)).toPandas().sort_values(["doc_id", "x"])
-    if rows.empty or not (rows["quality"] == 1).any():
+    first = found.orderBy(F.xxhash64("doc_id", "x"), "doc_id", "x").limit(2 * (sample + labelled))
+    # the driver keeps the floats once: sorted by Spark, received as Arrow, dropped when they are dealt
+    rows = first.sortWithinPartitions("doc_id", "x").select("x", "quality", "mixed").toArrow()
+    quality = rows["quality"].fill_null(-1).to_numpy()
+    good, bad, mix = quality == 1, quality == 0, rows["mixed"].to_numpy()
+    if not good.any():
         return None
-    x = np.stack([np.frombuffer(b, np.float32) for b in rows["x"]])
-    good, bad, mix = (rows["quality"] == 1).to_numpy(), (rows["quality"] == 0).to_numpy(), rows["mixed"].to_numpy(bool)
     if not mix.any():
-        mix = np.ones(len(x), bool)
+        mix = np.ones(len(mix), bool)
+    p, u = stacked(rows["x"], good), stacked(rows["x"], mix)
+    del rows
     if prior is None:
-        prior = float(np.clip(good.sum() / (good.sum() + bad.sum()), 0.02, 0.98)) if bad.any() else estimate_prior(x[good], x[mix])
-    return Network(x.shape[1]).fit(x[good], x[mix], prior)
+        prior = float(np.clip(good.sum() / (good.sum() + bad.sum()), 0.02, 0.98)) if bad.any() else estimate_prior(p, u)
+    return Network(WIDTH).fit(p, u, prior)
 
 
 def score(docs: DataFrame, network: Network | None) -> DataFrame:

@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from genoweave.llm import toivonen
+from genoweave.llm import pu_quality, toivonen
 
 
 def peak(work):
@@ -16,6 +16,19 @@ def peak(work):
     return most
 
 
+def test_training_keeps_no_second_copy_of_the_sample_in_the_driver():
+    r = np.random.default_rng(3)
+    p, u = r.random((2000, pu_quality.WIDTH), np.float32), r.random((20000, pu_quality.WIDTH), np.float32)
+    net = pu_quality.Network(pu_quality.WIDTH)
+    most = peak(lambda: net.fit(p, u, 0.5, epochs=1))
+    assert most < u.nbytes
+    both = np.vstack([p, u])
+    assert np.allclose(net.mean, both.mean(0, dtype=float), atol=1e-5) and np.allclose(net.scale, both.std(0, dtype=float) + 1e-3, atol=1e-5)
+    packed = pa.chunked_array([pa.array([x.tobytes() for x in u[a : a + 700]], pa.binary()) for a in range(0, 2100, 700)])
+    chosen = r.random(2100) < 0.5
+    assert (pu_quality.stacked(packed, chosen) == u[:2100][chosen]).all()
+
+
 def test_a_chunk_of_phrases_needs_little_more_memory_than_its_words(monkeypatch):
     text = pa.array(["some words, of a text that goes on and on. " * 20] * 2400)
     langs = pa.array(["en"] * len(text))
