@@ -81,3 +81,28 @@ def test_silent_bases_are_counted_and_not_generated(spark):
 def test_depth_ratio_meets_only_the_intervals_it_names(spark):
     plan = load()[0]["A13_depth_ratio"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "IN (iv0,iv1,iv2)" in plan
+
+
+LISTED = ("G13_base_at_site", "G14_pileup_decode", "S14_pileup_scan", "A15_template_site_counts", "A16_first_read_wins", "A32_mtdna_screen", "A32_depth_summary")
+
+
+@pytest.fixture(scope="module")
+def repeated_sites(tmp_path_factory):
+    """Suppliers whose numbers differ by 15,000 are the same site, so a position is listed three times."""
+    folder = tmp_path_factory.mktemp("sites")
+    duckdb.sql(f"copy (select * replace (s_suppkey+k*15000 as s_suppkey) from '/root/testdata/sf0.001/supplier.parquet', (select range k from range(3))) to '{folder}/supplier.parquet' (format parquet)")
+    duckdb.sql(f"copy (from '/root/testdata/sf0.001/lineitem.parquet') to '{folder}/lineitem.parquet' (format parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", LISTED)
+def test_reads_meet_listed_positions_and_not_every_site(spark, repeated_sites, name):
+    found, twins = load()
+    got = found[name](spark, repeated_sites)
+    assert "_slot_bin" not in plan_of(got)  # no ladder of bins, in which a read meets all sites near it
+    con = duckdb.connect()
+    for t in ("supplier", "lineitem"):
+        con.execute(f"create view {t} as select * from '{repeated_sites}/{t}.parquet'")
+    want = con.sql(twins[name])
+    plain = lambda rows: sorted(repr([float(x) if isinstance(x, float) or type(x).__name__ == "Decimal" else x for x in r]) for r in rows)
+    assert plain(map(tuple, got.select(*want.columns).collect())) == plain(want.fetchall())
