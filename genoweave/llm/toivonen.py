@@ -7,8 +7,11 @@ frequent but was not proposed is a border failure. The expansion pass counts the
 failure and that the full pass left out. It closes the search: take a frequent run that the full
 pass did not count, and in it the shortest part that was not proposed; all shorter parts of it
 are proposed, so the full pass counted that part, and found it frequent, as part of a frequent
-run. The run holds a failure and the expansion counts it. The same pass spells out what the full
-pass counted by hash.
+run. The run holds a failure and the expansion counts it.
+
+What the full pass counted by hash is spelled out from the sample, which holds nearly all frequent
+runs; the expansion pass spells out only those that the sample lacks, so not every task sends every
+frequent run.
 
 Proposals, failures and frequent runs reach the tasks as bitmaps of hashes of at most
 ``MOST_BITS`` bits each. A bit that two runs share only makes more runs be counted; which runs a
@@ -184,6 +187,12 @@ def bitmaps(often: DataFrame, lengths: range, bits_each: int) -> list[np.ndarray
     return list(out.values())
 
 
+def sampled(docs: DataFrame, rate: float) -> DataFrame:
+    # rate as a bound on the whole range of the hash, so small rates keep their meaning
+    bound = min(2**63 - 1, int(-(2**63) + rate * 2**64))
+    return docs.filter(F.xxhash64(F.col("doc_id").cast("string"), "text") <= F.lit(bound))
+
+
 def propose(docs: DataFrame, rate: float, least: int) -> list[np.ndarray]:
     """Bitmaps of the runs of one, two and three words that a sample of the documents holds often."""
 
@@ -195,10 +204,7 @@ def propose(docs: DataFrame, rate: float, least: int) -> list[np.ndarray]:
                     key, _, n = grouped(runs.keys(m)[ok], ok)
                     yield numbers(m, key, n)
 
-    # rate as a bound on the whole range of the hash, so small rates keep their meaning
-    bound = min(2**63 - 1, int(-(2**63) + rate * 2**64))
-    chosen = docs.filter(F.xxhash64(F.col("doc_id").cast("string"), "text") <= F.lit(bound))
-    counted = summed(_read(chosen).mapInArrow(run, "m int, key long, n long"))
+    counted = summed(_read(sampled(docs, rate)).mapInArrow(run, "m int, key long, n long"))
     return bitmaps(cut_lineage(counted.filter(F.col("n") >= least).select("m", "key")), range(1, LONGEST), 16)
 
 
@@ -245,7 +251,7 @@ def failures(counted: DataFrame, proposed: list[np.ndarray]) -> DataFrame:
 
 
 def expand(docs: DataFrame, proposed: list[np.ndarray], failed: list[np.ndarray] | None, frequent_bits: list[np.ndarray]) -> DataFrame:
-    """(lang, m, phrase, key, more): runs that hold a failure and were left out, with their number in ``more``, and runs and languages of the full pass with ``more`` null."""
+    """(lang, m, phrase, key, more): runs that hold a failure and were left out, with their number in ``more``, and runs of the full pass with a set bit and languages with ``more`` null; each task's own rows."""
     shared = docs.sparkSession.sparkContext.broadcast((proposed, failed, frequent_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,8 +286,11 @@ def expand(docs: DataFrame, proposed: list[np.ndarray], failed: list[np.ndarray]
                             bad = np.append(bad | held(failed[m - 1], keys), False)
                 known = np.union1d(known, np.concatenate(fresh)) if len(known) < REMEMBERED else np.zeros(0, np.uint64)
 
-    spelled = _read(docs).mapInArrow(run, "lang string, m int, phrase string, key long, more long")
-    return spelled.groupBy("lang", "m", "phrase", "key").agg(F.sum("more").alias("more"))
+    return _read(docs).mapInArrow(run, "lang string, m int, phrase string, key long, more long")
+
+
+def together(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("lang", "m", "phrase", "key").agg(F.sum("more").alias("more"))
 
 
 def frequent(docs: DataFrame, least: int = LEAST, rate: float = SAMPLE_RATE) -> DataFrame:
@@ -290,7 +299,11 @@ def frequent(docs: DataFrame, least: int = LEAST, rate: float = SAMPLE_RATE) ->
     counted = count(docs, proposed, least)
     failed = failures(counted, proposed)
     none = failed.isEmpty()
-    spelled = expand(docs, proposed, None if none else bitmaps(failed, range(1, LONGEST), 64), bitmaps(counted.filter("m > 0").select("m", "key"), range(1, LONGEST + 1), 64))
+    wanted, lengths = counted.filter("m > 0").select("m", "key"), range(1, LONGEST + 1)
+    early = cut_lineage(together(expand(sampled(docs, rate), proposed, None, bitmaps(wanted, lengths, 64))))
+    rest = cut_lineage(wanted.join(early, ["m", "key"], "left_anti"))
+    late = expand(docs, proposed, None if none else bitmaps(failed, range(1, LONGEST), 64), bitmaps(rest, lengths, 64))
+    spelled = together(early.unionByName(late))
     # a bit shared with a frequent run also spells out others; those have no count and go
     both = spelled.join(counted, ["m", "key"], "left").withColumn("n", F.coalesce("n", "more"))
     return cut_lineage(both.filter((F.col("n") >= least) | (F.col("m") == 0)).select("lang", "m", "phrase", "n"))

@@ -4,8 +4,11 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from genoweave import session
 from genoweave.llm import pu_quality, toivonen
+from genoweave.session import cut_lineage
 
 
 def peak(work):
@@ -44,3 +47,29 @@ def test_a_chunk_of_phrases_needs_little_more_memory_than_its_words(monkeypatch)
         want.append(int(near[-1]))
         at = want[-1]
     assert list(toivonen.chunk_ends(raw, offsets)) == want
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    files = lambda: {f for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",").split(",") if "/shuffle_" in f}
+    before = files()
+    kept = cut_lineage(spark.range(10000).groupBy((F.col("id") % 97).alias("k")).count())
+    assert not [f for f in files() - before if f.endswith(".data")]
+    assert kept.count() == 97
+    assert spark.conf.get(session.FREES_SHUFFLES) == "false"
+
+
+def test_tasks_do_not_each_spell_out_every_frequent_run(spark, monkeypatch):
+    lines = [f"the {w} of the {w} goes on. " * 3 for w in ("mill", "road", "river", "town")]
+    docs = spark.createDataFrame([(i, "".join(lines), "en") for i in range(400)], "doc_id long, text string, lang string").repartition(8)
+    passes = []
+    expand = toivonen.expand
+
+    def spied(of, *a):
+        rows = cut_lineage(expand(of, *a))
+        passes.append(rows.filter("m > 0").count())
+        return rows
+
+    monkeypatch.setattr(toivonen, "expand", spied)
+    got = {(r["phrase"], r["n"]) for r in toivonen.frequent(docs).filter("m = 4").collect()}
+    assert ("the mill of the", 1200) in got and ("of the mill goes", 1200) in got
+    assert passes[-1] == 0
