@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from genoweave.operators import intervals, reads
+from genoweave.operators import intervals, reads, structural
 from genoweave.operators.intervals import Span
 from genoweave.registry import load
 
@@ -117,3 +117,14 @@ def test_points_inside_spans_are_counted_without_their_pairs(spark):
     want = points.join(spans, (points.contig == spans.g_contig) & (points.pos > spans.s) & (points.pos <= spans.e)).groupBy("gene", "kind").count()
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
     assert "_slot_bin" not in plan_of(load()[0]["A25_region_classifications"](spark, "/root/testdata/sf0.001"))
+
+
+def test_a_point_meets_the_exons_of_its_own_gene_only(spark):
+    found, _ = load()
+    plan = plan_of(found["J18_point_context"](spark, "/root/testdata/sf0.001"))
+    assert "_slot_bin" not in plan and "BroadcastHashJoin" not in plan
+    points = spark.createDataFrame([(1, "g", "c", 5), (2, "h", "c", 5), (3, "h", "d", 25), (4, "g", "c", 15), (5, "g", "c", 99)], "id long, gene string, contig string, pos long")
+    exons = spark.createDataFrame([("g", "c", 1, 10), ("g", "c", 4, 8), ("g", "c", 20, 30), ("h", "d", 1, 30)], "gene string, contig string, start long, end long")
+    spans = exons.groupBy("gene").agg({"start": "min", "end": "max"}).withColumnsRenamed({"min(start)": "start", "max(end)": "end"})
+    got = {r["id"]: (r["context"], r["distance"]) for r in structural.gene_context(points, spans, exons).collect()}
+    assert got == {1: ("exon", None), 2: ("intron", None), 3: ("exon", None), 4: ("intron", None), 5: ("3prime_flank", 69)}
