@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from inspect import getfullargspec, isgeneratorfunction
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,36 @@ def shard_count(df: DataFrame, text: str, bytes_per_shard: int = 3_000_000) -> i
     return max(spread(df.sparkSession), -(-total // bytes_per_shard))
 
 
+def gives_back(work: Callable) -> Callable:
+    """``work`` on batches or a group that afterwards returns freed memory to the system.
+
+    A worker outlives its task, and else keeps its largest group's memory while other stages run.
+    """
+
+    def free() -> None:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    def batches_done(batches):
+        try:
+            yield from work(batches)
+        finally:
+            free()
+
+    def done(*given):
+        try:
+            return work(*given)
+        finally:
+            free()
+
+    if isgeneratorfunction(work):
+        return batches_done
+    # Spark tells the kinds of group functions by their number of arguments
+    return {1: lambda table: done(table), 2: lambda key, table: done(key, table), 3: lambda key, left, right: done(key, left, right)}[len(getfullargspec(work).args)]
+
+
 # ---- arrays -------------------------------------------------------------------------------------
 
 rng = np.random.default_rng(20240607)

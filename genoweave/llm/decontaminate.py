@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genoweave.llm.common import BYTE_VALUE, IS_SPACE, LOWER, U64, Rolling, pieces, text_bytes, word_bounds
+from genoweave.llm.common import BYTE_VALUE, IS_SPACE, LOWER, U64, Rolling, gives_back, pieces, text_bytes, word_bounds
 from genoweave.session import cut_lineage
 
 WINDOW = 8
@@ -183,7 +183,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return window_rows(lengths, np.unpackbits(shared.value).view(bool))(batches)
 
-    seen = docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(of_docs, f"id {kind}, {FIELDS}").withColumnRenamed("id", "doc_id")
+    seen = docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(gives_back(of_docs), f"id {kind}, {FIELDS}").withColumnRenamed("id", "doc_id")
     hits = seen.join(of_items, ["length", "hash"]).withColumns({"shift": F.col("place") - F.col("item_place"), "plain": F.col("length") < 0})
     hits = cut_lineage(hits.select("doc_id", "item_id", "plain", "shift", "item_place", "item_slots", "slots"))
     pairs = hits.filter("not plain").select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("p"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from genoweave.llm.common import LOWER, U64, Rolling, mix, pieces, shard_count, text_bytes, word_bounds, word_hashes
+from genoweave.llm.common import LOWER, U64, Rolling, gives_back, mix, pieces, shard_count, text_bytes, word_bounds, word_hashes
 from genoweave.llm.components import components
 from genoweave.session import cut_lineage
 
@@ -337,12 +337,12 @@ def link(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of (doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text")
-    described = cut_lineage(rows.mapInArrow(describe, f"doc_id {kind}, n long, class long, sure0 long, sure1 long, sketch binary"))
+    described = cut_lineage(rows.mapInArrow(gives_back(describe), f"doc_id {kind}, n long, class long, sure0 long, sure1 long, sketch binary"))
     known = described.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sure0").alias("sure0"), F.first("sure1").alias("sure1"), F.first("sketch").alias("sketch"))
     known = cut_lineage(known)
     groups = shard_count(rows, "text", 20_000_000)
-    dealt = rows.filter("doc_id is not null").select("text").mapInArrow(deal(groups), "g int, role int, class binary, count binary, keys binary")
-    met = cut_lineage(dealt.groupBy("g").applyInArrow(meet, "a long, b long, role int"))
+    dealt = rows.filter("doc_id is not null").select("text").mapInArrow(gives_back(deal(groups)), "g int, role int, class binary, count binary, keys binary")
+    met = cut_lineage(dealt.groupBy("g").applyInArrow(gives_back(meet), "a long, b long, role int"))
     # classes that may depend on hot parts alone
     hot = met.filter("role >= 0").groupBy(F.col("b").alias("class"), "role").agg(F.count("*").alias("hot")).join(known.select("class", "sure0", "sure1"), "class")
     needy = cut_lineage(hot.filter(F.col("hot") >= F.when(F.col("role") == 0, F.col("sure0")).otherwise(F.col("sure1"))).select("class").distinct())
@@ -350,7 +350,7 @@ def link(docs: DataFrame) -> DataFrame:
     # shingles of every class that is compared; a repeated id may have other texts, so the class decides which is meant
     wanted = likely.select(F.col("a").alias("class")).union(likely.select("b")).union(needy).distinct().join(known.select("class", "rep"), "class")
     texts = rows.join(wanted.select(F.col("rep").alias("doc_id"), "class"), "doc_id").select("class", "text")
-    hashed = cut_lineage(texts.mapInArrow(sets, "class long, hashes binary").dropDuplicates(["class"]))
+    hashed = cut_lineage(texts.mapInArrow(gives_back(sets), "class long, hashes binary").dropDuplicates(["class"]))
     links = verified(known, hashed, likely)
     if needy.limit(1).count():
         links = completed(known, hashed, needy, links)
@@ -381,12 +381,12 @@ def rarest(known: DataFrame, hashed: DataFrame, needy: DataFrame) -> DataFrame:
     Similar sets of n elements share one of their n - ceil(3n/4) + 1 rarest, by any one order. With
     the rarest first, what many texts hold is only met by sets that hold little else.
     """
-    listed = cut_lineage(hashed.join(needy, "class").mapInArrow(one_by_one, "class long, n long, shingle long"))
+    listed = cut_lineage(hashed.join(needy, "class").mapInArrow(gives_back(one_by_one), "class long, n long, shingle long"))
     often = listed.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
     # a shingle of one set cannot be shared, so it only takes its place among the rarest
     ranked = listed.join(often, "shingle", "left").withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy(F.coalesce("often", F.lit(1)), "shingle")))
     first = ranked.filter(F.col("often").isNotNull() & (F.col("rank") <= F.col("n") - F.ceil(3 * F.col("n") / 4) + 1)).select("shingle", "class", "n", F.col("rank").cast("long").alias("rank"))
-    folded = known.join(needy, "class").select("class", "rep", "sketch").mapInArrow(shorter, f"class long, rep {known.schema['rep'].dataType.simpleString()}, sketch binary")
+    folded = known.join(needy, "class").select("class", "rep", "sketch").mapInArrow(gives_back(shorter), f"class long, rep {known.schema['rep'].dataType.simpleString()}, sketch binary")
     return cut_lineage(first.join(folded, "class"))
 
 
@@ -433,13 +433,13 @@ def allowed(known: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs of classes whose sizes and bit sketches allow the similarity."""
     left = known.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = known.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    return cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, "a long, b long"))
+    return cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(gives_back(near), "a long, b long"))
 
 
 def verified(known: DataFrame, hashed: DataFrame, likely: DataFrame) -> DataFrame:
     """Links (a, b) between representatives among pairs of classes, by their shingles."""
     x = likely.join(hashed.select(F.col("class").alias("a"), F.col("hashes").alias("ha")), "a").join(hashed.select(F.col("class").alias("b"), F.col("hashes").alias("hb")), "b")
-    good = x.select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long")
+    good = x.select("a", "b", "ha", "hb").mapInArrow(gives_back(verify), "a long, b long")
     names = known.select("class", "rep")
     good = good.join(names.select(F.col("class").alias("a"), F.col("rep").alias("ra")), "a").join(names.select(F.col("class").alias("b"), F.col("rep").alias("rb")), "b")
     return cut_lineage(good.select(F.col("ra").alias("a"), F.col("rb").alias("b")))

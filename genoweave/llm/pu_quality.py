@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genoweave.llm import textstats
-from genoweave.llm.common import text_bytes
+from genoweave.llm.common import gives_back, text_bytes
 
 SAMPLE = 30_000
 LABELS = 10_000
@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: float
     mixed = chosen_by(sample / total, "doc_id", F.lit("sample"))
     # marks are about ``labelled`` rows whatever the input
     read = docs.filter("doc_id is not null").select("doc_id", "text").join(F.broadcast(marks), "doc_id", "left").select("doc_id", "text", "quality", mixed.alias("mixed"))
-    found = read.filter("mixed or quality is not null").mapInArrow(run, f"doc_id {kind}, x binary, quality int, mixed boolean")
+    found = read.filter("mixed or quality is not null").mapInArrow(gives_back(run), f"doc_id {kind}, x binary, quality int, mixed boolean")
     # repeated ids may add rows: the first by a hash then, alike in every run
     first = found.orderBy(F.xxhash64("doc_id", "x"), "doc_id", "x").limit(2 * (sample + labelled))
     # the driver keeps the floats once: sorted by Spark, received as Arrow, dropped when they are dealt
@@ -179,7 +179,7 @@ def score(docs: DataFrame, network: Network | None) -> DataFrame:
             parts = [network.score(x) if network else np.full(len(x), 0.5) for x in textstats.over_pieces(b.column(1), features)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(gives_back(run), f"doc_id {kind}, score double")
 
 
 def keep_good(docs: DataFrame, network: Network | None, least: float = 0.5) -> DataFrame:
@@ -192,7 +192,7 @@ def keep_good(docs: DataFrame, network: Network | None, least: float = 0.5) -> D
             if parts:
                 yield b.filter(pa.array(np.concatenate(parts) >= least))
 
-    return docs.mapInArrow(run, docs.schema) if network else docs
+    return docs.mapInArrow(gives_back(run), docs.schema) if network else docs
 
 
 def held_out(column: str = "doc_id"):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genoweave.llm.common import BYTE_VALUE, U64, Rolling, Segments, mix, pieces, shard_count, spread, text_bytes
+from genoweave.llm.common import BYTE_VALUE, U64, Rolling, Segments, gives_back, mix, pieces, shard_count, spread, text_bytes
 
 WIDTH = 50
 GRAM = 22
@@ -377,12 +377,12 @@ def dedup(docs: DataFrame, carried: tuple[str, ...] = (), whole_chars: bool = Fa
     groups = spread(docs.sparkSession, shards // 4)
     dealt = docs.select("doc_id", "text", *carried).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(shards)).cast("int"))
     by_shard = lambda df: df.groupBy("shard")
-    told = by_shard(dealt).applyInArrow(tell_segments(groups), REMAIN)
-    replies = told.groupBy("g").applyInArrow(compare_segments, REMAIN)
-    classes = by_shard(dealt).cogroup(by_shard(replies)).applyInArrow(tell_classes(groups), REMAIN)
-    answers = classes.groupBy("g").applyInArrow(merge_classes, REMAIN)
+    told = by_shard(dealt).applyInArrow(gives_back(tell_segments(groups)), REMAIN)
+    replies = told.groupBy("g").applyInArrow(gives_back(compare_segments), REMAIN)
+    classes = by_shard(dealt).cogroup(by_shard(replies)).applyInArrow(gives_back(tell_classes(groups)), REMAIN)
+    answers = classes.groupBy("g").applyInArrow(gives_back(merge_classes), REMAIN)
     schema = f"doc_id {kinds['doc_id']}, n_bytes long, spans array<long>, kept binary" + "".join(f", `{c}` {kinds[c]}" for c in carried)
-    return by_shard(dealt).cogroup(by_shard(replies.unionByName(answers))).applyInArrow(removal(list(carried), whole_chars), schema)
+    return by_shard(dealt).cogroup(by_shard(replies.unionByName(answers))).applyInArrow(gives_back(removal(list(carried), whole_chars)), schema)
 
 
 def digest(deduped: DataFrame) -> DataFrame:

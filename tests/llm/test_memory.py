@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from genoweave import session
 from genoweave.llm import pu_quality, toivonen
+from genoweave.llm.common import gives_back
 from genoweave.session import cut_lineage
 
 
@@ -73,3 +74,24 @@ def test_tasks_do_not_each_spell_out_every_frequent_run(spark, monkeypatch):
     got = {(r["phrase"], r["n"]) for r in toivonen.frequent(docs).filter("m = 4").collect()}
     assert ("the mill of the", 1200) in got and ("of the mill goes", 1200) in got
     assert passes[-1] == 0
+
+
+def test_a_worker_gives_back_the_memory_of_its_group(spark):
+    def resident():
+        return int(open("/proc/self/statm").read().split()[1]) * 4096
+
+    kept = []
+
+    def group(table):
+        held = [bytes(60000) for _ in range(4000)]  # below the size that is mapped apart
+        kept.append(bytes(60000))  # lies behind them, so the heap can't just shrink
+        kept.append(resident())
+        del held
+        return table
+
+    gives_back(group)(None)
+    assert resident() < kept[1] - 150e6
+    list(gives_back(lambda batches: (yield from batches))(iter([])))
+    keyed = lambda key, a, b: pa.table({"n": [a.num_rows + b.num_rows]})
+    both = spark.range(3).groupBy("id").cogroup(spark.range(2).groupBy("id")).applyInArrow(gives_back(keyed), "n long")
+    assert sorted(r["n"] for r in both.collect()) == [1, 2, 2]
