@@ -128,3 +128,11 @@ def test_a_point_meets_the_exons_of_its_own_gene_only(spark):
     spans = exons.groupBy("gene").agg({"start": "min", "end": "max"}).withColumnsRenamed({"min(start)": "start", "max(end)": "end"})
     got = {r["id"]: (r["context"], r["distance"]) for r in structural.gene_context(points, spans, exons).collect()}
     assert got == {1: ("exon", None), 2: ("intron", None), 3: ("exon", None), 4: ("intron", None), 5: ("3prime_flank", 69)}
+
+
+def test_only_eligible_calls_look_up_genes(spark):
+    calls = spark.createDataFrame([(1, "PASS", "0/1"), (2, "LowQual", "0/1"), (3, "PASS", "0/0"), (4, "PASS", "1/1"), (4, "LowQual", "1/1"), (None, "PASS", "0/1")], "id long, filter string, gt string")
+    got = sorted(map(tuple, structural.eligible_calls(calls).collect()))
+    assert got == [(1, "PASS", "0/1"), (4, "LowQual", "1/1"), (4, "PASS", "1/1")]
+    plan = plan_of(load()[0]["A23_feature_counts"](spark, "/root/testdata/sf0.001"))
+    assert "LeftSemi" in plan
