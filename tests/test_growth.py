@@ -136,3 +136,51 @@ def test_only_eligible_calls_look_up_genes(spark):
     assert got == [(1, "PASS", "0/1"), (4, "LowQual", "1/1"), (4, "PASS", "1/1")]
     plan = plan_of(load()[0]["A23_feature_counts"](spark, "/root/testdata/sf0.001"))
     assert "LeftSemi" in plan
+
+
+def test_pairs_of_rows_with_several_places_come_once_and_are_not_shuffled(spark, tmp_path):
+    import random
+
+    draw = random.Random(5)
+    def places(most):
+        made = []
+        for _ in range(draw.randint(1, most)):
+            at = draw.randint(0, 60000)
+            made.append((draw.choice("xy"), at, at + draw.choice((1, 40, 900, 30000))))
+        return made
+    left = [(i, places(3)) for i in range(40)]
+    right = [(100 + i, places(1 + 2 * (i % 2))) for i in range(40)]
+    for name, rows in (("l", left), ("r", right)):
+        spark.createDataFrame(rows, f"{name} long, {name}p array<struct<contig: string, start: long, end: long>>").write.parquet(f"{tmp_path}/{name}")
+    met = intervals.overlap_pairs(spark.read.parquet(f"{tmp_path}/l"), spark.read.parquet(f"{tmp_path}/r"), "lp", "rp").select("l", "r")
+    want = [(a, b) for a, p in left for b, q in right if any(x[0] == y[0] and x[1] < y[2] and y[1] < x[2] for x in p for y in q)]
+    assert sorted(map(tuple, met.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["J7_cds_overlap", "J8_sv_gene_overlap", "J9_sv_gene_hits", "J2_called_catalog_in_genes"])
+def test_pairs_of_calls_and_genes_are_not_shuffled_again(spark, name):
+    plan = plan_of(load()[0][name](spark, "/root/testdata/sf0.001"))
+    top = plan[: plan.index("SortMergeJoin [_contig")]
+    assert "Exchange" not in top, top
+
+
+def test_gene_counters_shuffle_one_row_per_task_and_gene(spark):
+    plan = plan_of(load()[0]["A23_gene_counters"](spark, "/root/testdata/sf0.001"))
+    assert plan[: plan.index("SortMergeJoin [_contig")].count("Exchange") == 1
+
+
+def test_gene_counters_count_as_the_relations_do(spark):
+    svs = spark.createDataFrame(
+        [("a", "c", 100, 900, "DEL", ".", None, "PASS", "0/1"), ("b", "c", 150, 150, "BND", "c", 180, "PASS", "1/1"), ("d", "c", 350, 2000, "INV", ".", None, "PASS", "0|1"),
+         ("e", "c", 50, 1000, "INV", ".", None, "LowQual", "0/1"), ("a", "c", 120, 130, "DEL", ".", None, "PASS", "0/0")],
+        "id string, chrom string, pos long, end long, svtype string, chr2 string, pos2 long, filter string, gt string")
+    genes = spark.createDataFrame([("g", "c", 99, 400), ("g", "c", 380, 600), ("h", "c", 1500, 1600)], "gene string, g_chrom string, g_start long, g_end long")
+    exons = spark.createDataFrame([("g", "t", "1", "c", 140, 200, 150, 390), ("g", "t", "2", "c", 340, 400, 150, 390)],
+                                  "gene string, tx string, exon_number string, e_chrom string, e_start long, e_end long, cds_start long, cds_end long")
+    got = {r["gene"]: tuple(r)[1:] for r in structural.gene_counters(svs, genes, exons).collect()}
+    rel = structural.gene_relations(svs, genes, exons).join(svs.selectExpr("id", "filter = 'PASS' and gt in ('0/1','1/1','0|1') ok"), "id")
+    want = rel.groupBy("gene").agg({"*": "count"}).collect()
+    assert {r[0]: r[1] for r in want} == {k: v[0] for k, v in got.items()}
+    for gene, counts in got.items():
+        mine = rel.filter(f"gene = '{gene}' and ok")
+        assert counts[1:] == (mine.count(), mine.filter("cds_bp > 0").count(), mine.filter("functional").count())
