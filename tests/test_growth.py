@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from genoweave.operators import intervals, reads, structural
 from genoweave.operators.intervals import Span
@@ -184,3 +185,55 @@ def test_gene_counters_count_as_the_relations_do(spark):
     for gene, counts in got.items():
         mine = rel.filter(f"gene = '{gene}' and ok")
         assert counts[1:] == (mine.count(), mine.filter("cds_bp > 0").count(), mine.filter("functional").count())
+
+
+def test_kmers_of_a_long_text_are_cut_from_short_pieces(spark):
+    import random
+
+    from genoweave.functions import sequence as fs
+
+    draw = random.Random(3)
+    text = "".join(draw.choice("ACGT" * 40 + "N") for _ in range(4000)) + "ACGTA"
+    rows = spark.createDataFrame([(text,), ("ACGTN",), ("",)], "s string").select(F.explode(fs.clean_runs(F.col("s"), 5, 16)).alias("r"))
+    assert rows.agg(F.max(F.length("r"))).first()[0] == 20
+    got = rows.select(F.explode(fs.run_kmers(F.col("r"), 5)).alias("k")).collect()
+    flip = str.maketrans("ACGT", "TGCA")
+    words = [text[i : i + 5] for i in range(len(text) - 4) if "N" not in text[i : i + 5]]
+    assert sorted(r["k"] for r in got) == sorted(min(w, w.translate(flip)[::-1]) for w in words)
+
+
+def test_long_coding_sequences_are_translated_in_one_pass(spark):
+    from genoweave.functions import sequence as fs
+
+    cds = ["ATGTTTTAGNNNacgT G#TTGGG", "ATG" * 3, "AT", "ATGA", None]
+    out = spark.createDataFrame([(c,) for c in cds], "c string").select(fs.translate_cds(F.col("c")).alias("p")).collect()
+    assert [r["p"] for r in out] == ["MF*XXXXG", "MMM", None, None, None]
+    codons = [a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG"]
+    table = spark.createDataFrame([("".join(codons),)], "c string").select(fs.translate_cds(F.col("c")).alias("p")).first()["p"]
+    assert table == fs.STANDARD_CODE
+    plan = plan_of(spark.createDataFrame([("ATG",)], "c string").select(fs.translate_cds(F.col("c"))))
+    assert "regexp_extract_all" in plan and "sequence(" not in plan
+
+
+def test_chunks_tile_texts_of_any_length(spark):
+    from genoweave.sources import text
+
+    rows = [("a", "acgta" * 7), ("b", ""), ("c", None), ("d", "acg")]
+    out = text.chunk_sequences(spark.createDataFrame(rows, "contig string, seq string"), step=10).collect()
+    want = [("a", i, i * 10, ("ACGTA" * 7)[i * 10 : i * 10 + 10]) for i in range(4)] + [("b", 0, 0, ""), ("c", 0, 0, None), ("d", 0, 0, "ACG")]
+    assert sorted(map(tuple, out)) == sorted(want)
+
+
+def test_kmer_counts_shuffle_reads_and_count_reads_without_a_template(spark):
+    from genoweave.operators import kmers
+
+    reads = spark.createDataFrame([("t", "ACGTAC", "IIIIII"), ("t", "ACGTAC", "IIIIII"), ("u", "ACGTAC", "II!III"), (None, "GTACC", "IIIII"), ("v", None, None)], "template string, seq string, qual string")
+    out = kmers.kmer_counts(reads, 3)
+    assert sorted(map(tuple, out.collect())) == [("ACC", 1, 0), ("ACG", 4, 1), ("GTA", 7, 2)]
+    plan = plan_of(out)
+    assert plan.index("Generate") < plan.index("collect_list"), plan
+
+
+def test_reference_counts_read_the_hits_once(spark):
+    plan = plan_of(load()[0]["K5_reference_counts"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("posexplode(transform(") == 1, plan.count("posexplode(transform(")
