@@ -228,3 +228,97 @@ def test_exact_hits_of_mixed_lengths(spark):
     got = kmers.exact_hits(spark.createDataFrame(list(enumerate(needles)), "needle_id int, needle string"), chunks).collect()
     assert len(got) == len({tuple(x) for x in got})
     assert {tuple(x) for x in got} == {(i, *hit) for i, n in enumerate(needles) for hit in brute(n)}
+
+
+def odd_reads(spark):
+    """Reads with a deletion, an insertion, clips, lower case, short or missing texts, and templates that disagree."""
+    rows = [
+        ("t1", 0, "c", 1, 40, "20M", "ACGTACGTACGTACGTACGT", "I" * 20, 1),
+        ("t1", 16, "c", 3, 40, "5S5M2D5M", "TTTTTGTACGacgta", "I" * 15, 2),
+        ("t2", 16, "c", 1, 40, "6M4I10M", "ACGTACTTTTGTACGTACGA", "I" * 10 + "!" * 4 + "I" * 6, 3),
+        ("t3", 0, "d", 250, 30, "20M", "CCCCCCCCCCCCCCCCCCCC", "5" * 20, None),
+        ("t3", 0, "d", 252, 30, "20M", "CCCCCGGGGGCCCCCCCCCC", "5" * 20, 5),
+        ("t4", 0, "c", 1, 40, "20M", "ACG", "I" * 20, 6),
+        ("t5", 0, "c", 2, 40, "*", "ACGT", "IIII", 7),
+        (None, 0, "c", 1, 40, "20M", "ACGTACGTACGTACGTACGT", "I" * 20, 8),
+        (None, 16, "c", 1, 40, "20M", "AAAAAAAAAAAAAAAAAAAA", "I" * 20, 9),
+        ("t6", 0, None, 1, 40, "20M", "ACGTACGTACGTACGTACGT", "I" * 20, 10),
+        ("t7", 0, "c", None, 40, "20M", "ACGTACGTACGTACGTACGT", "I" * 20, 11),
+        ("t8", 0, "c", 4, 40, "20M", None, "I" * 20, 12),
+        ("t9", 0, "c", 4, 40, "20M", "ACGTACGTACGTACGTACGT", None, 13),
+    ]
+    df = spark.createDataFrame(rows, "qname string, flag int, rname string, pos long, mapq int, cigar string, seq string, qual string, ordinal long")
+    return reads.prepare_reads(df, walk=False), rows
+
+
+def bases_by_hand(rows, quality):
+    """(template, contig, site, base, reverse, ordinal, place, length, bq) of every aligned base."""
+    import re
+
+    for name, flag, contig, pos, _, cigar, seq, qual, ordinal in rows:
+        if pos is None or qual is None:
+            continue
+        ref, query = pos, 0
+        for n, op in re.findall(r"(\d+)([MIDS])", cigar):
+            for i in range(int(n) if op == "M" else 0):
+                base = None if seq is None else seq[query + i : query + i + 1].upper()
+                bq = ord(qual[query + i]) - 33 if query + i < len(qual) else -33
+                if bq >= quality:
+                    yield name, contig, ref + i, base, flag == 16, ordinal, query + i, len(seq or ""), bq
+            ref += int(n) if op in "MD" else 0
+            query += int(n) if op in "MIS" else 0
+
+
+def test_bases_at_listed_positions_are_counted_where_the_reads_are(spark):
+    from collections import Counter
+
+    from genoweave.functions import basewalk
+
+    prepared, rows = odd_reads(spark)
+    sites = spark.createDataFrame([("c", p, "A", "C") for p in (1, 4, 5, 9, 9, 20, 23)] + [("d", 255, "C", "G"), ("d", 256, "C", "G"), ("e", 1, "A", "C"), (None, 1, "A", "C")], "site_contig string, site long, site_ref string, site_alt string")
+    listed = {("c", p) for p in (1, 4, 5, 9, 20, 23)} | {("d", 255), ("d", 256)}
+    got = reads.position_counts(prepared, sites, 20, F.col("reverse").cast("int"))
+    assert "Generate explode(sequence(low" not in got._jdf.queryExecution().optimizedPlan().toString() and "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    want = Counter((c, s, b, int(r)) for _, c, s, b, r, *_ in bases_by_hand(rows, 20) if (c, s) in listed)
+    assert {(r["site_contig"], r["site"], r["base"], r["tag"]): r["n"] for r in got.collect()} == dict(want) and want
+    # small pieces and many counts held give the same
+    by_hand = Counter((c, s, b) for _, c, s, b, *_ in bases_by_hand(rows, -100) if (c, s) in listed)
+    import pyarrow as pa
+
+    met = reads.meet_marks(prepared, reads.listed_marks(sites.withColumn("mark", F.lit(1))), F.lit(0).alias("tag")).toArrow()
+    held, piece = basewalk.HELD, basewalk.PIECE
+    try:
+        basewalk.HELD, basewalk.PIECE = 2, 8
+        parts = pa.Table.from_batches(list(basewalk.tally_bases(-100)(iter(met.to_batches(max_chunksize=3))))).to_pylist()
+    finally:
+        basewalk.HELD, basewalk.PIECE = held, piece
+    seen = Counter()
+    for r in parts:
+        seen[r["contig"], r["site"], None if r["base"] < 0 else chr(r["base"]) if r["base"] else ""] += r["n"]
+    assert seen == by_hand
+
+
+def test_reads_of_a_template_agree_or_the_first_decides(spark):
+    from collections import defaultdict
+
+    prepared, rows = odd_reads(spark)
+    sites = spark.createDataFrame([("c", p, "A", "C") for p in range(1, 25)] + [("d", p, "C", "G") for p in range(250, 275)], "site_contig string, site long, site_ref string, site_alt string")
+    shown = defaultdict(list)
+    for name, c, s, b, _, ordinal, *_ in bases_by_hand(rows, 20):
+        if c is not None:
+            shown[name, c, s].append((ordinal, b))
+    want = defaultdict(lambda: [0] * 5)
+    first = defaultdict(int)
+    for (_, c, s), seen in shown.items():
+        letters = {b for _, b in seen if b is not None}
+        ref, alt = ("A", "C") if c == "c" else ("C", "G")
+        call = letters.pop() if len(letters) == 1 else "discordant"
+        counts = want[c, s]
+        counts[0] += 1
+        counts[["ref", "alt", "other", "discordant"].index("discordant" if call == "discordant" else "ref" if call == ref else "alt" if call == alt else "other") + 1] += 1
+        known = sorted((o, b) for o, b in seen if o is not None)
+        first[c, s, known[0][1] if known else None] += 1
+    got = reads.template_site_counts(prepared, sites)
+    assert {(r["site_contig"], r["site"]): [r[f"{x}templates"] for x in ("", "ref_", "alt_", "other_", "discordant_")] for r in got.collect()} == dict(want)
+    got = reads.first_read_counts(prepared, sites, "ordinal")
+    assert {(r["site_contig"], r["site"], r["base"]): r["templates"] for r in got.collect()} == dict(first)
