@@ -205,13 +205,16 @@ def a38(v):
 def g4(v):
     from genoweave.operators import alleles
 
-    rec = shared.seq_records(v).filter("length(seq) >= 2")
-    # A one-base deletion and insertion at every tenth base of each document, counted from its end.
-    places = F.sequence(F.greatest(F.length("seq") - 10, F.lit(1)), F.lit(1), F.lit(-10))
-    c = rec.select("contig", F.substring("contig", 4, 20).cast("long").alias("src_row"), F.explode(places).alias("pos"), "seq")
-    both = F.explode(F.array(F.lit(0), F.lit(1)))
-    c = c.withColumn("pos", F.col("pos").cast("long")).withColumn("kind", both).withColumn("src_row", F.shiftleft("src_row", 32) + F.col("pos") * 2 + F.col("kind"))
-    first = F.expr("substring(seq, cast(pos as int), 1)")
-    pair = F.expr("substring(seq, cast(pos as int), 2)")
+    # read for the calls, the text and what is not moved, so the bases are drawn from the documents once
+    rec = cut_lineage(shared.seq_records(v).filter("length(seq) >= 2"))
+    # A one-base deletion and insertion at every tenth base of each document, counted from its end;
+    # the text is cut in one pass, each piece begins at such a base.
+    size = F.length("seq")
+    head = F.when(size > 11, (size - 1) % 10 + 1).otherwise(1)
+    pieces = F.transform(F.regexp_extract_all(F.expr("substring(seq, _head)"), F.lit("(?s).{1,10}"), 0), lambda x: F.substring(x, 1, 2))
+    c = rec.withColumn("_head", head).select("contig", "_head", size.alias("_size"), F.posexplode(pieces).alias("_i", "pair")).withColumn("pos", (F.col("_head") + F.col("_i") * 10).cast("long"))
+    c = c.filter(F.col("pos") <= F.greatest(F.col("_size") - 10, F.lit(1)))
+    c = c.withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("src_row", F.shiftleft(F.substring("contig", 4, 20).cast("long"), 32) + F.col("pos") * 2 + F.col("kind"))
+    first, pair = F.substring("pair", 1, 1), F.col("pair")
     c = c.select("contig", "src_row", "pos", F.when(F.col("kind") == 0, pair).otherwise(first).alias("ref"), F.when(F.col("kind") == 0, first).otherwise(F.concat(first, first)).alias("alt"))
     return alleles.left_align(c, text.chunk_sequences(rec, step=50), "src_row", step=50).select("contig", "pos", "ref", "alt")

@@ -170,3 +170,32 @@ def test_inputs_that_change_during_the_work_fail_it(spark, tmp_path):
     (src / "a.txt").unlink()
     changed = integrity.changed_files(before, integrity.snapshot(spark, str(src)))
     assert {r["path"].rsplit("/", 1)[1]: r["bytes_before"] for r in changed.collect()} == {"a.txt": 4, "c.txt": None}
+
+
+def test_left_alignment_moves_whole_rows_together(spark):
+    import random
+
+    import pyarrow as pa
+
+    from genoweave.functions.perread import _shifted, shift_left
+
+    draw = random.Random(3)
+    rows = []
+    for _ in range(3000):
+        context = "".join(draw.choice("AC") for _ in range(draw.randint(0, 40)))
+        start = draw.choice((0, 0, 100))
+        n = draw.randint(0, len(context))
+        first = draw.choice("AC")
+        unit = "".join(draw.choice("AC") for _ in range(draw.randint(1, 5)))
+        ref, alt = draw.choice(((first + unit, first), (first, first + unit), (unit + first, first), (first + unit, unit), (unit, unit[::-1] + "A")))
+        rows.append((start + n + 1, ref, alt, context[:n] + draw.choice(("", context[n:])), start))
+    batch = pa.RecordBatch.from_pydict(dict(zip(("pos", "ref", "alt", "_context", "_context_start"), map(list, zip(*rows)))) | {"kept": list(range(len(rows)))})
+    (got,) = shift_left(iter([batch]))
+    want = [_shifted(p, r, a, c, s) for p, r, a, c, s in rows]
+    assert list(zip(*(got.column(n).to_pylist() for n in ("pos", "ref", "alt", "_edge")), strict=True)) == want
+    assert got.column("kept").to_pylist() == list(range(len(rows))) and sum(w[3] for w in want) > 20
+    chunks = text.chunk_sequences(spark.createDataFrame([("c", "GAAAATCGCGCGT")], "contig string, seq string"), step=4)
+    calls = spark.createDataFrame([(1, "c", 4, "AA", "A", "x"), (1, "c", 11, "CGC", "C", "y"), (2, "c", 2, "A", "C", "z")], "src_row int, contig string, pos long, ref string, alt string, note string")
+    aligned = alleles.left_align(calls, chunks, "src_row", step=4)
+    # an id that comes twice is two calls, each with its own columns
+    assert sorted(map(tuple, aligned.collect())) == [(1, "c", 1, "GA", "G", "x"), (1, "c", 6, "TCG", "T", "y"), (2, "c", 2, "A", "C", "z")]
