@@ -237,3 +237,43 @@ def test_kmer_counts_shuffle_reads_and_count_reads_without_a_template(spark):
 def test_reference_counts_read_the_hits_once(spark):
     plan = plan_of(load()[0]["K5_reference_counts"](spark, "/root/testdata/sf0.001"))
     assert plan.count("posexplode(transform(") == 1, plan.count("posexplode(transform(")
+
+
+def test_exon_bases_of_a_pair_are_told_where_it_meets(spark, tmp_path):
+    import random
+
+    draw = random.Random(11)
+    kinds = ("DEL", "DUP", "INV", "BND", "INS")
+    svs = [(i % 70, draw.choice(kinds), draw.choice("xy"), p, p + draw.choice((0, 3, 40, 300)), draw.choice("xy"), draw.randint(1, 600)) for i in range(80) for p in [draw.randint(1, 600)]]
+    genes = [(f"g{i}", draw.choice("xy"), s, s + draw.randint(1, 200)) for i in range(25) for s in [draw.randint(0, 500)]]
+    exons = [(g, f"{g}t{t}", 1, str(n), c, a, b, s + 20, s + 90) for g, c, s, e in genes for t in range(2) for n in range(3) for a in [s + n * 30 + t * 7] for b in [a + draw.choice((0, 10, 25))]]
+    for name, rows, shape in (
+        ("s", svs, "id int, svtype string, chrom string, pos long, end long, chr2 string, pos2 long"),
+        ("g", genes, "gene string, g_chrom string, g_start long, g_end long"),
+        ("e", exons, "gene string, tx string, strand int, exon_number string, e_chrom string, e_start long, e_end long, cds_start long, cds_end long"),
+    ):
+        spark.createDataFrame(rows, shape).write.parquet(f"{tmp_path}/{name}")
+    s, g, e = (spark.read.parquet(f"{tmp_path}/{x}") for x in "sge")
+    got = structural.gene_relations(s, g, e)
+    assert plan_of(got).count("_slot_bin") and "merge_" not in plan_of(got)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("_slot_bin") < 40  # calls and genes meet once, not calls and exons too
+    used = {}
+    for r in structural.sv_parts(s).collect():
+        if r["part"] == ("span" if r["svtype"] in ("DEL", "DUP") else "breakpoint"):
+            used.setdefault(r["id"], []).append((r["p_chrom"], r["p_start"], r["p_end"]))
+    seen = 0
+    for r in got.collect():
+        covered, coding, labels = set(), set(), set()
+        for c, a, b in used.get(r["id"], []):
+            for gene, tx, _, n, ec, es, ee, cs, ce in exons:
+                if gene == r["gene"] and ec == c and max(a, es) < min(b, ee):
+                    covered |= set(range(max(a, es), min(b, ee)))
+                    coding |= set(range(max(a, es, cs), min(b, ee, ce)))
+                    labels.add(f"{tx}:ex{n}")
+        assert (r["exon_bp"], r["cds_bp"], r["exon_labels"], r["transcripts"]) == (len(covered), len(coding), "|".join(sorted(labels)), "|".join(sorted({x.split(":")[0] for x in labels})))
+        seen += bool(covered)
+    assert seen > 20
+
+
+def test_the_panel_summary_makes_no_pairs(spark):
+    assert "_slot_bin" not in plan_of(load()[0]["A25_panel_summary"](spark, "/root/testdata/sf0.001"))
